@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from timbrel.llm import lookalike, runs
+from timbrel.llm import lookalike, runs, turns
 
-MODULES = [lookalike, runs]
+MODULES = [lookalike, runs, turns]
 
 
 def queries() -> dict:
