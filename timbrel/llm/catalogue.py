@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from timbrel.llm import leaks, lookalike, runs, turns
+from timbrel.llm import leaks, lookalike, runs, splitting, turns
 
-MODULES = [lookalike, runs, turns, leaks]
+MODULES = [splitting, lookalike, runs, turns, leaks]
 
 
 def queries() -> dict:
