@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from timbrel.llm import leaks, lookalike, runs, splitting, turns
+from timbrel.llm import leaks, lookalike, packing, runs, splitting, turns
 
-MODULES = [splitting, lookalike, runs, turns, leaks]
+MODULES = [splitting, lookalike, runs, turns, packing, leaks]
 
 
 def queries() -> dict:
