@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from timbrel.llm import leaks, lookalike, packing, reading, runs, splitting, turns
+from timbrel.llm import budget, leaks, lookalike, packing, reading, runs, splitting, turns
 
-MODULES = [splitting, lookalike, runs, turns, packing, leaks, reading]
+MODULES = [splitting, budget, lookalike, runs, turns, packing, leaks, reading]
 
 
 def queries() -> dict:
