@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from timbrel.plans import deliveries
+from timbrel.plans import deliveries, relational, textual
 
-MODULES = [deliveries]
+MODULES = [deliveries, relational, textual]
 
 
 def queries() -> dict:
