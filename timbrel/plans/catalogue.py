@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from timbrel.plans import deliveries, relational, textual
+from timbrel.plans import chunked, deliveries, relational, textual
 
-MODULES = [deliveries, relational, textual]
+MODULES = [deliveries, relational, textual, chunked]
 
 
 def queries() -> dict:
