@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from timbrel.plans import chunked, deliveries, relational, textual
+from timbrel.plans import chunked, deliveries, feeds, relational, textual
 
-MODULES = [deliveries, relational, textual, chunked]
+MODULES = [deliveries, relational, textual, chunked, feeds]
 
 
 def queries() -> dict:
