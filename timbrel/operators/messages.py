@@ -14,6 +14,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timbrel.functions.naming import spared
+
+#: Columns that the store adds; rows that have such a column get it back as <name>_input.
+INTERNAL = ["_part", "_held", "_dir", "w"]
+
 
 class _Files:
     """The few operations on the shared file system that the manifest needs."""
@@ -73,7 +78,7 @@ class MessageStore:
         """Merge a batch; returns how many partitions there were, were looked up and were written."""
         now = self.manifest()
         version = now["version"] + 1
-        incoming = incoming.dropna(subset=self.key).withColumn("_part", F.coalesce(F.col(self.part).cast("string"), F.lit("unknown")))
+        incoming = spared(incoming.dropna(subset=self.key), INTERNAL).withColumn("_part", F.coalesce(F.col(self.part).cast("string"), F.lit("unknown")))
         history, known, touched = None, None, []
         if now["index"]:
             known = self.spark.read.parquet(*now["index"])
@@ -89,9 +94,9 @@ class MessageStore:
         winners = winners.select(*self.key, *[F.col(f"w.{c}").alias(c) for c in rest], F.coalesce("_held", "w._part").alias("_part"))
         data = f"{self.root}/data/{version:09d}"
         # a copy of the partition name goes into the directories, so that the column stays in the files
-        winners.withColumn("p", F.col("_part")).hint("rebalance", "p").write.partitionBy("p").parquet(data)
+        winners.withColumn("_dir", F.col("_part")).hint("rebalance", "_dir").write.partitionBy("_dir").parquet(data)
         written = self.files.names(data)
-        new_dirs = {self._value(n): f"{data}/{n}" for n in written if n.startswith("p=")}
+        new_dirs = {self._value(n): f"{data}/{n}" for n in written if n.startswith("_dir=")}
         # a partition that was looked up is replaced; one that only gains messages keeps its files
         parts = now["parts"] | {p: ([] if p in touched else now["parts"].get(p, [])) + [d] for p, d in new_dirs.items()}
         fresh = self._read({p: [d] for p, d in new_dirs.items()})
