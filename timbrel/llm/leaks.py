@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timbrel.llm import codepoints as C
 from timbrel.session import cut, table
@@ -124,8 +125,7 @@ def word_sequences(texts: DataFrame, text: str = "text") -> DataFrame:
                 lists.append(_lists(row, h, len(rows) - 1))
             yield b.remove_column(at).append_column("words", pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int64())))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != text)
-    return texts.mapInArrow(run, f"{schema}, words array<bigint>")
+    return texts.mapInArrow(run, T.StructType([*(f for f in texts.schema if f.name != text), T.StructField("words", T.ArrayType(T.LongType()))]))
 
 
 def _lists(row: np.ndarray, h: np.ndarray, n: int) -> pa.Array:

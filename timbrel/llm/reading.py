@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from timbrel.functions.naming import spared
 from timbrel.llm import codepoints as C
 from timbrel.session import cut, table
 
@@ -64,7 +66,8 @@ def ranks(counts: DataFrame) -> DataFrame:
     return counts.join(ranked, "n").select("word", "rank", "through")
 
 
-_FEATURES = "words bigint, sentences bigint, letters bigint, long_words bigint, rank bigint, need bigint, tail array<struct<word:bigint,n:int>>"
+_FEATURES = [*(T.StructField(n, T.LongType()) for n in ("words", "sentences", "letters", "long_words", "rank", "need")), T.StructField("tail", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.IntegerType())])))]
+ADDED = [*(f.name for f in _FEATURES), "coverage_rank", "far_rank", "grade"]
 
 
 def features(texts: DataFrame, head: tuple[np.ndarray, np.ndarray], share: float = SHARE) -> DataFrame:
@@ -112,8 +115,7 @@ def features(texts: DataFrame, head: tuple[np.ndarray, np.ndarray], share: float
                 rest = b.remove_column(at).slice(i, n)
                 yield pa.record_batch([*rest.columns, *cols], names=[*rest.schema.names, "words", "sentences", "letters", "long_words", "rank", "need", "tail"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
-    return texts.mapInArrow(run, f"{schema}, {_FEATURES}")
+    return texts.mapInArrow(run, T.StructType([*(f for f in texts.schema if f.name != "text"), *_FEATURES]))
 
 
 _FAR = np.int64(1 << 62)
@@ -129,8 +131,10 @@ def _ranks_of(words: np.ndarray, known: np.ndarray, rank_of: np.ndarray) -> np.n
 def measured(documents: DataFrame, share: float = SHARE, head: int = HEAD) -> DataFrame:
     """(doc_id, ...) with words, sentences, letters, long_words and coverage_rank; the text is dropped.
 
-    Texts without words (null, empty, numbers only) have nulls in the rank and zeros elsewhere.
+    Texts without words (null, empty, numbers only) have nulls in the rank and zeros elsewhere. Other
+    columns are kept; one named like a measure comes out as <name>_input. doc_id is unique.
     """
+    documents = spared(documents, ADDED)
     ranked = cut(ranks(word_counts(documents.select("text").where("text is not null"))))
     top = ranked.where(F.col("through") <= head).select("word", "rank").toArrow()
     word, rank = top.column(0).to_numpy(), top.column(1).to_numpy()

@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from timbrel.functions.naming import spared
 from timbrel.llm import codepoints as C
 from timbrel.session import table
 
@@ -128,7 +130,8 @@ def cut_places(cps: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> t
         own = cut
 
 
-PIECE = "piece_index int, piece_text string, token_count int, char_start int, char_end int, overlap_tokens int, share_from double, share_to double"
+_FIELDS = [T.StructField(n, t) for n, t in (("piece_index", T.IntegerType()), ("piece_text", T.StringType()), ("token_count", T.IntegerType()), ("char_start", T.IntegerType()), ("char_end", T.IntegerType()), ("overlap_tokens", T.IntegerType()), ("share_from", T.DoubleType()), ("share_to", T.DoubleType()))]
+ADDED = [*(f.name for f in _FIELDS), "piece_start", "piece_end"]
 _SCHEMA = pa.struct([("piece_index", pa.int32()), ("piece_text", pa.string()), ("token_count", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("overlap_tokens", pa.int32()), ("share_from", pa.float64()), ("share_to", pa.float64())])
 
 
@@ -158,17 +161,19 @@ def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int =
     pieces join to the text. A piece's times divide the row's interval by its place among the
     tokens; reversed bounds are read in order, a null bound gives null times. A null text is one
     piece with null text and no tokens, an empty or blank one is one piece; equal rows are split
-    alike. limit must exceed twice the overlap. Columns of `df` may not be named like a piece's.
+    alike. limit must exceed twice the overlap. A column of `df` that is named like one of a piece's
+    comes out as <name>_input.
     """
     if limit <= 2 * overlap or overlap < 0:
         raise ValueError("limit must exceed twice the overlap")
+    df = spared(df, set(ADDED) - {text, start, end})
     counted = df.withColumn("token_count", F.coalesce(F.regexp_count(F.col(text), F.lit("(?U)" + TOKEN)), F.lit(0)))
     others = [c for c in df.columns if c != text]
     whole = counted.where(F.col("token_count") <= limit).select(*others, F.lit(0).alias("piece_index"), F.col(text).alias("piece_text"), "token_count", F.lit(0).alias("char_start"), F.coalesce(F.length(text), F.lit(0)).alias("char_end"), F.lit(0).alias("overlap_tokens"), F.lit(0.0).alias("share_from"), F.lit(1.0).alias("share_to"))
     large = counted.where(F.col("token_count") > limit).select(*others, text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in large.schema if f.name != text)
     at = len(others)
-    cut = large.mapInArrow(lambda it: _split(it, at, limit, overlap), f"{schema}, {PIECE}" if others else PIECE)
+    schema = T.StructType([*(f for f in large.schema if f.name != text), *_FIELDS])
+    cut = large.mapInArrow(lambda it: _split(it, at, limit, overlap), schema)
     out = whole.unionByName(cut)
     if start and end:
         lo, hi = F.least(start, end), F.greatest(start, end)

@@ -11,6 +11,9 @@ from functools import cache
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from timbrel.functions.naming import spared
 
 #: Folder with the vocabulary files, the same on every machine.
 FOLDER = "/opt/tokenizers"
@@ -48,7 +51,11 @@ def fingerprint(name: str = DEFAULT, folder: str = FOLDER) -> str:
 
 
 def with_token_count(df: DataFrame, text: str, name: str = DEFAULT, folder: str = FOLDER, keep_text: bool = False) -> DataFrame:
-    """The table with `tokens` (bigint) in place of the text column; null for a null text, 0 for an empty one."""
+    """The table with `tokens` (bigint) in place of the text column; null for a null text, 0 for an empty one.
+
+    A column already named tokens comes out as tokens_input.
+    """
+    df = spared(df, {"tokens"} - {text})
     at, path = df.columns.index(text), os.path.join(folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,8 +65,7 @@ def with_token_count(df: DataFrame, text: str, name: str = DEFAULT, folder: str
             rest = b if keep_text else b.remove_column(at)
             yield rest.append_column("tokens", n)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != text)
-    return df.mapInArrow(run, f"{schema}, tokens bigint" if schema else "tokens bigint")
+    return df.mapInArrow(run, T.StructType([*(f for f in df.schema if keep_text or f.name != text), T.StructField("tokens", T.LongType())]))
 
 
 def _strings(column: pa.Array) -> Iterator[str | None]:
