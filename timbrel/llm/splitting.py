@@ -24,6 +24,8 @@ from timbrel.llm import codepoints as C
 from timbrel.session import table
 
 LIMIT, OVERLAP, BLOCK = 240, 48, 20
+#: How many possible cuts away the heights beside a valley are looked for.
+REACH = 60
 #: Dimensions of the hashed word counts that blocks are compared by.
 DIMS = 64
 #: A token is one character of the kana and Han blocks, a run of other letters, digits and underscores, or any other character that isn't white space.
@@ -91,16 +93,13 @@ def depths(cps: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray,
     right = counts[np.minimum(at + block, n)] - counts[at]
     norm = np.sqrt((left.astype(np.float64) ** 2).sum(1) * (right.astype(np.float64) ** 2).sum(1))
     score = (left * right).sum(1) / np.maximum(norm, 1e-9)
-    return _climb(score) + _climb(score[::-1])[::-1] - 2 * score
+    return _peak(score) + _peak(score[::-1])[::-1] - 2 * score
 
 
-def _climb(score: np.ndarray) -> np.ndarray:
-    """For each place, the height reached by walking left while the curve doesn't fall."""
-    out = score.copy()
-    for i in range(1, len(score)):
-        if score[i - 1] >= score[i]:
-            out[i] = out[i - 1]
-    return out
+def _peak(score: np.ndarray) -> np.ndarray:
+    """For each place, the greatest height within REACH places to its left, itself included."""
+    padded = np.concatenate([np.full(REACH, -np.inf), score])
+    return np.lib.stride_tricks.sliding_window_view(padded, REACH + 1).max(1)
 
 
 def cut_places(cps: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
