@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from timbrel.functions import metadata, profile
 from timbrel.functions.naming import spared
 from timbrel.functions.text import collapse, instant_micros, millis, strip
-from timbrel.operators import chunking, intervals, keyed, ranges, vectors
+from timbrel.operators import chunking, contracts, intervals, keyed, ranges, vectors
 from timbrel.operators.intervals import IntervalMap
 from timbrel.operators.messages import MessageStore
 from timbrel.session import shared_path
@@ -265,6 +265,25 @@ def test_choose_ranges():
     assert chunking.choose_ranges([0, 1, 2], [(0, 0), (1, 1)], [0.2], c) == [(0, 0), (1, 1)]
 
 
+# --- contracts
+
+
+def test_contracts(spark):
+    c = contracts
+    df = spark.createDataFrame([("a1", 5, ["x", "y"], True), ("b", 50, ["x", "x"], True), (None, None, None, None), ("a2", 0, [], False)], "id string, n int, l array<string>, flag boolean")
+    rules = {"required": c.required("id"), "pattern": c.pattern("id", r"^a\d$"), "bounds": c.bounds("n", most=10, above=0), "items": c.items("l", 1, unique=True), "every": c.every("l", lambda x: x != "y"), "implies": c.implies(F.col("flag"), c.enum("id", "a1")), "length": c.length("id", 2, 2), "optional": c.optional("n", c.bounds("n", least=0))}
+    got = [r[0] for r in df.select(c.broken(rules)).collect()]
+    assert got == ["every", "pattern,bounds,items,implies,length", "required,pattern,bounds,items,length", "bounds,items"]
+
+
+def test_missing_is_not_null(spark):
+    lines = ['{"a": 1, "b": null}', '{"a": "", "b": []}', '{"b": {"x": 1}}', "no json", '{"a": true, "b": [1]}']
+    got = {r["field"]: r for r in contracts.profile_fields(spark.createDataFrame([(x,) for x in lines], "j string"), "j", {"a": "string", "b": "array"}).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["total"], a["present"], a["missing"], a["empty"], a["wrong_type"], a["types"]) == (5, 3, 2, 1, 2, "boolean,number,string")
+    assert (b["present"], b["missing"], b["empty"], b["wrong_type"], b["types"]) == (4, 1, 2, 2, "array,null,object")
+
+
 # --- files
 
 

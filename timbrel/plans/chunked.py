@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timbrel.functions.text import instant_micros, millis, strip
-from timbrel.operators import chunking, ranges, vectors
+from timbrel.operators import chunking, contracts, ranges, vectors
 from timbrel.session import table
 
 
@@ -41,25 +41,30 @@ def silver_validation(s: SparkSession, d: str) -> DataFrame:
         "time_valid": F.forall("segments", lambda x: F.coalesce((x["start_ms"] >= 0) & (x["duration_ms"] > 0), F.lit(False))),
         "text_not_empty": strip("transcript_text") != "",
     }
-    failed = F.array_join(F.array_compact(F.array(*[F.when(~c, F.lit(k)) for k, c in checks.items()])), ",")
+    failed = contracts.broken(checks)
     return r.select("raw_id", failed.alias("failed"), (failed == "").alias("passed"))
 
 
 def question_contract(s: SparkSession, d: str) -> DataFrame:
     """Evaluation questions that break their schema, with the rules they break: required, pattern, enumeration, length, conditional items."""
-    q = table(s, d, "eval_questions")
+    c = contracts
     rules = {
-        "question_id_pattern": F.coalesce(F.col("question_id").rlike(r"^lec-q-\d{3}$"), F.lit(False)),
-        "question_length": F.coalesce(F.length("question").between(10, 200), F.lit(False)),
-        "category_enum": F.coalesce(F.col("category").isin("factual", "conceptual", "procedural"), F.lit(False)),
-        "review_status_enum": F.coalesce(F.col("review_status").isin("draft", "approved"), F.lit(False)),
-        "answer_points_if_answerable": ~F.col("answerable") | (F.size("expected_answer_points") > 0),
-        "video_ids_unique": F.size("relevant_video_ids") == F.size(F.array_distinct("relevant_video_ids")),
-        "ranges_positive": F.forall(F.coalesce("relevant_time_ranges", F.array().cast("array<struct<video_id:string,start_second:double,end_second:double>>")), lambda r: (r["start_second"] >= 0) & (r["end_second"] > r["start_second"])),
-        "reviewer_if_approved": (F.col("review_status") != "approved") | F.col("reviewer").isNotNull(),
+        "question_id_pattern": c.pattern("question_id", r"^lec-q-\d{3}$"),
+        "question_length": c.length("question", 10, 200),
+        "category_enum": c.enum("category", "factual", "conceptual", "procedural"),
+        "review_status_enum": c.enum("review_status", "draft", "approved"),
+        "answer_points_if_answerable": c.implies(F.col("answerable"), c.items("expected_answer_points", 1)),
+        "video_ids_unique": c.items("relevant_video_ids", unique=True),
+        "ranges_positive": c.every("relevant_time_ranges", lambda r: (r["start_second"] >= 0) & (r["end_second"] > r["start_second"])),
+        "reviewer_if_approved": c.implies(F.col("review_status") == "approved", c.required("reviewer")),
     }
-    broken = F.array_join(F.array_compact(F.array(*[F.when(~c, F.lit(k)) for k, c in rules.items()])), ",")
-    return q.select("question_id", broken.alias("broken")).where("broken <> ''")
+    return table(s, d, "eval_questions").select("question_id", c.broken(rules).alias("broken")).where("broken <> ''")
+
+
+def document_fields(s: SparkSession, d: str) -> DataFrame:
+    """Fields of the documents written as JSON objects without their nulls."""
+    x = table(s, d, "documents").select(F.to_json(F.struct("doc_id", "text", "lang", "topic_domain", "n_chars", "video_id")).alias("json"))
+    return contracts.profile_fields(x, "json", {"doc_id": "number", "text": "string", "lang": "string", "topic_domain": "string", "n_chars": "string", "video_id": "string"})
 
 
 def _payloads(s: SparkSession, d: str) -> DataFrame:
@@ -182,7 +187,7 @@ def retrieval_quality(s: SparkSession, d: str) -> DataFrame:
     return all_.agg(F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("place").isNotNull(), 1.0).otherwise(0.0)), 6).alias("recall_at_5"), F.round(F.avg(F.coalesce(1.0 / F.col("place"), F.lit(0.0))), 6).alias("mrr"))
 
 
-QUERIES = {f.__name__: f for f in (silver_records, silver_validation, question_contract, fixed_chunks, overlapping_chunks, chunk_records, cohesive_chunks, chunk_summary, answer_ranges, nearest_vectors, neighbour_likeness, evidence, retrieval_quality)}
+QUERIES = {f.__name__: f for f in (silver_records, silver_validation, question_contract, document_fields, fixed_chunks, overlapping_chunks, chunk_records, cohesive_chunks, chunk_summary, answer_ranges, nearest_vectors, neighbour_likeness, evidence, retrieval_quality)}
 
 _WS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -228,4 +233,7 @@ SQL = {
       where end_second > start_second and r.end_second > r.start_second and start_second < r.end_second and end_second > r.start_second group by 1, 2""",
     "nearest_vectors": "with e as (select vec_id, cast(embedding as double[]) as v from embeddings), s as (select q.vec_id as query, e.vec_id as row, round(list_cosine_similarity(q.v, e.v), 9) as score from e q, e where q.vec_id % 50 = 0), r as (select *, row_number() over (partition by query order by score desc, row) as place from s) select query, cast(place as int) as place, row, round(score, 5) as score from r where place <= 5",
     "neighbour_likeness": "with e as (select vec_id, cast(embedding as double[]) as v from embeddings) select a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) as score from e a join e b on b.vec_id = a.vec_id + 1",
+    "document_fields": " union all ".join(f"""select '{f}' as field, '{k}' as expected, count(*) as total, count({f}) as present, count(*) - count({f}) as missing,
+      count(*) filter (cast({f} as varchar) = '') as empty, {f"count({f})" if f == 'n_chars' else '0'} as wrong_type, '{'number' if f in ('doc_id', 'n_chars') else 'string'}' as types from documents"""
+      for f, k in (("doc_id", "number"), ("text", "string"), ("lang", "string"), ("topic_domain", "string"), ("n_chars", "string"), ("video_id", "string"))),
 }
