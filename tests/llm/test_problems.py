@@ -77,7 +77,7 @@ def test_ledger_follows_changes_and_removals(spark):
     kind = "tbl string, id bigint, source string, domain string, text string"
 
     def units(data):
-        return spark.createDataFrame(data, kind).withColumn("content", F.unhex(F.md5("text")))
+        return spark.createDataFrame(data, kind).withColumn("content", F.unhex(F.md5("text"))).withColumn("whole", F.unhex(F.md5(F.coalesce(F.nullif(F.col("text"), F.lit("18 + 3")), F.lit("the cat and the dog")))))
 
     ledger = budget.TokenLedger(spark, shared_path(spark, "t"))
     first = [("d", 1, "s", "x", "the cat and the dog"), ("d", 2, "s", "x", "the cat and the dog"), ("d", 3, "t", "y", "el perro y los gatos"), ("d", 4, "t", "y", "")]
@@ -90,6 +90,9 @@ def test_ledger_follows_changes_and_removals(spark):
     assert {(r["source"], r["units"], r["tokens"]) for r in ledger.cube().collect()} == {("s", 1, n), ("t", 1, new), ("u", 1, n)}
     # contents that were met before aren't encoded again
     assert spark.read.parquet(ledger._manifest()["counts"][-1]).count() == 1
+    # words that tell no language take that of the text they were cut from
+    ledger.load(units([*second, ("d", 9, "v", "x", "18 + 3")]))
+    assert ledger.cube().where("source = 'v'").first()["language"] == "en"
     ledger.load(units([]))
     assert ledger.cube().count() == 0
 

@@ -127,9 +127,11 @@ class TokenLedger:
         return json.loads(self.files.read(f"{self.root}/manifest/{found[-1]}")) if found else {"version": 0, "counts": []}
 
     def load(self, units: DataFrame) -> DataFrame:
-        """units: (tbl, id, source, domain, content, text), the whole present state. Returns the signed deltas.
+        """units: (tbl, id, source, domain, content, text, whole), the whole present state. Returns the signed deltas.
 
-        (tbl, id) is unique; content is a digest of the text. Units with null text don't belong here.
+        (tbl, id) is unique; content is a digest of the text, whole that of the text it was taken
+        from, whose language counts where its own words don't tell any. Units with null text don't
+        belong here.
         """
         now = self._manifest()
         version = now["version"] + 1
@@ -142,16 +144,16 @@ class TokenLedger:
         encoded(fresh, self.name, self.folder).withColumn("tokenizer", F.lit(self.tokenizer)).write.parquet(counts)
         new_counts = self.spark.read.parquet(*now["counts"], counts).where(F.col("tokenizer") == self.tokenizer)
         here = f"{self.root}/units/{version:09d}"
-        units.select("tbl", "id", "source", "domain", "content").join(new_counts, "content").select("tbl", "id", "content", "source", "language", "domain", "tokens").write.parquet(here)
-        after = self.spark.read.parquet(here)
-        signed = after.select(*CUBE, F.lit(1).alias("sign"), "tokens")
+        of_whole = new_counts.select(F.col("content").alias("whole"), F.col("language").alias("whole_language"))
+        told = units.select("tbl", "id", "source", "domain", "content", "whole").join(new_counts, "content").join(of_whole, "whole", "left")
+        language = F.coalesce(F.nullif(F.col("language"), F.lit("und")), "whole_language", F.lit("und"))
+        told.select("tbl", "id", "content", "source", language.alias("language"), "domain", "tokens").write.parquet(here)
+        unit = ["tbl", "id", "content", "source", "language", "domain", "tokens"]
+        signed = self.spark.read.parquet(here).select(*unit, F.lit(1).alias("sign"))
         if "units" in now:
-            unit = ["tbl", "id", "content", "source", "domain"]
             before = self.spark.read.parquet(now["units"]).select(*unit, F.lit(-1).alias("sign"))
-            both = before.unionByName(after.select(*unit, F.lit(1).alias("sign")))
             # a unit that is the same in both adds up to nothing and moves no totals
-            moved = both.groupBy(*unit).agg(F.sum("sign").alias("sign")).where("sign <> 0")
-            signed = moved.join(new_counts, "content").select(*CUBE, "sign", "tokens")
+            signed = before.unionByName(signed).groupBy(*unit).agg(F.sum("sign").alias("sign")).where("sign <> 0")
         deltas = f"{self.root}/deltas/{version:09d}"
         signed.groupBy(*CUBE).agg(F.sum("sign").alias("units"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens")).write.parquet(deltas)
         delta = self.spark.read.parquet(deltas)
@@ -204,18 +206,19 @@ def shared(before: str, text: str) -> int:
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
-    """(tbl, id, source, domain, content, text, loaded) of the usable texts, written once for the loads."""
+    """(tbl, id, source, domain, content, text, whole, loaded) of the usable texts, written once for the loads."""
     t = table(spark, sf, "transcripts").where("raw_text is not null").select("transcript_id", strip("video_id").alias("video"), F.col("raw_text").alias("text"), "retrieved_at")
     looks = consistent_text(t.select("transcript_id", "video", "retrieved_at", "text"), "text").select("transcript_id", "video", "retrieved_at", F.unhex(F.md5("text")).alias("look"))
     first = cut(looks.groupBy("video", "look").agg(F.min("transcript_id").alias("transcript_id"), F.min("retrieved_at").alias("loaded")))
     dims = video_dimensions(table(spark, sf, "videos"), table(spark, sf, "sources"), table(spark, sf, "documents"))
     where = cut(first.join(dims, "video", "left").select("transcript_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("domain", F.lit("unresolved")).alias("domain"), "loaded"))
-    whole = t.join(where, "transcript_id").select(F.lit("transcripts").alias("tbl"), F.col("transcript_id").cast("bigint").alias("id"), "source", "domain", "text", "loaded")
+    where = where.join(t.select("transcript_id", F.unhex(F.md5("text")).alias("whole")), "transcript_id")
+    whole = t.join(where, "transcript_id").select(F.lit("transcripts").alias("tbl"), F.col("transcript_id").cast("bigint").alias("id"), "source", "domain", "text", "whole", "loaded")
     c = table(spark, sf, "chunks").where("chunk_text is not null").select("chunk_id", "transcript_id", "chunk_index", F.col("chunk_text").alias("text"))
     before = c.select("transcript_id", (F.col("chunk_index") + 1).alias("chunk_index"), F.col("text").alias("before"))
     # joined on transcript and place, so the live stream's many chunks are spread over all tasks
     own = c.join(before, ["transcript_id", "chunk_index"], "left").select("chunk_id", "transcript_id", "text", "before").mapInArrow(_own, "chunk_id int, transcript_id int, text string")
-    parts = own.join(where, "transcript_id").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").cast("bigint").alias("id"), "source", "domain", "text", "loaded")
+    parts = own.join(where, "transcript_id").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").cast("bigint").alias("id"), "source", "domain", "text", "whole", "loaded")
     out = whole.unionByName(parts).withColumn("content", F.unhex(F.md5("text")))
     path = shared_path(spark, "units")
     out.write.parquet(path)
