@@ -122,7 +122,7 @@ def chunk_summary(s: SparkSession, d: str) -> DataFrame:
         F.max("c.t").alias("tokens_max"),
         F.round(F.avg("c.t"), 3).alias("tokens_mean"),
         F.max("c.shared").alias("shared_max"),
-        F.round(F.avg(F.greatest("c.shared", F.lit(0))), 3).alias("shared_mean"),
+        F.round(F.avg(F.when(F.col("c.shared").isNotNull(), F.greatest("c.shared", F.lit(0)))), 3).alias("shared_mean"),
         F.count_if(F.expr(f"c.t > {c.maximum} and c.s = c.e")).alias("oversize_single"),
         F.count_if(F.expr(f"c.t > {c.maximum} and c.s < c.e")).alias("oversize_multi"),
         F.count_if(F.expr(f"c.t < {c.minimum} and not c.tail")).alias("undersize_not_tail"),
@@ -236,4 +236,17 @@ SQL = {
     "document_fields": " union all ".join(f"""select '{f}' as field, '{k}' as expected, count(*) as total, count({f}) as present, count(*) - count({f}) as missing,
       count(*) filter (cast({f} as varchar) = '') as empty, {f"count({f})" if f == 'n_chars' else '0'} as wrong_type, '{'number' if f in ('doc_id', 'n_chars') else 'string'}' as types from documents"""
       for f, k in (("doc_id", "number"), ("text", "string"), ("lang", "string"), ("topic_domain", "string"), ("n_chars", "string"), ("video_id", "string"))),
+    "chunk_summary": f"""with recursive {_SEG}, {_WALK}, {_MOVED},
+      n as (select raw_id, max(i) as top from seg group by 1),
+      z as (select y.raw_id, y.k, y.s, y.e, cast(y.t as bigint) as t, n.top, lag(y.e) over w as pe, cast(lag(y.to_e) over w - (y.to_e - y.t) as bigint) as shared, y.k = max(y.k) over (partition by y.raw_id) as tail, count(*) over (partition by y.raw_id) as chunks
+        from y join n on n.raw_id = y.raw_id window w as (partition by y.raw_id order by y.k))
+      select count(*) as total_chunks, bool_and(case when k = 0 then s = 0 else s <= pe + 1 end and (not tail or e = top)) as all_covered, cast(min(chunks) as int) as chunks_min, cast(max(chunks) as int) as chunks_max,
+        min(t) as tokens_min, max(t) as tokens_max, round(avg(t), 3) as tokens_mean, max(shared) as shared_max, round(avg(case when shared is not null then greatest(shared, 0) end), 3) as shared_mean,
+        count(*) filter (t > 240 and s = e) as oversize_single, count(*) filter (t > 240 and s < e) as oversize_multi, count(*) filter (t < 192 and not tail) as undersize_not_tail, count(*) filter (t < 192 and tail) as undersize_tail from z""",
+    "silver_validation": rf"""with s as (select raw_id, {_strip('video_id')} as v, fetched_at, segments, array_to_string(list_transform(segments, lambda x: coalesce(x.text, '')), chr(10)) as txt from transcripts_raw where len(segments) > 0),
+      f as (select raw_id, array_to_string(list_filter([case when coalesce(v, '') = '' then 'identified' end,
+        case when not regexp_matches(coalesce(fetched_at, ''), '^\d{{4}}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$') then 'fetched_at_readable' end,
+        case when len(list_filter(segments, lambda x: not coalesce(round(x.start * 1000) >= 0 and round(x.duration * 1000) > 0, false))) > 0 then 'time_valid' end,
+        case when {_strip('txt')} = '' then 'text_not_empty' end], lambda x: x is not null), ',') as failed from s)
+      select raw_id, failed, failed = '' as passed from f""",
 }
