@@ -55,13 +55,20 @@ def keyword_class(text: Column, keywords: Mapping[str, Sequence[str]]) -> tuple[
     Presence counts, not occurrences. No keyword: ('unresolved', 'no_evidence'); several classes
     with the most: ('unresolved', 'tie:a|b').
     """
-    low = F.lower(collapse(text))
-    scores = F.array(*[F.struct(F.lit(k).alias("k"), sum((F.contains(low, F.lit(w)).cast("int") for w in ws), F.lit(0)).alias("n")) for k, ws in sorted(keywords.items())])
-    most = F.array_max(F.transform(scores, lambda x: x["n"]))
-    best = F.transform(F.filter(scores, lambda x: x["n"] == most), lambda x: x["k"])
-    name = F.when((most > 0) & (F.size(best) == 1), best[0]).otherwise("unresolved")
-    evidence = F.when(most == 0, "no_evidence").when(F.size(best) > 1, F.concat(F.lit("tie:"), F.array_join(best, "|"))).otherwise(F.concat(F.lit("score:"), most.cast("string")))
-    return name, evidence
+
+    def scores(low: Column) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("k"), sum((F.contains(low, F.lit(w)).cast("int") for w in ws), F.lit(0)).alias("n")) for k, ws in sorted(keywords.items())])
+
+    def verdict(found: Column, most: Column) -> Column:
+        best = F.transform(F.filter(found, lambda x: x["n"] == most), lambda x: x["k"])
+        name = F.when((most > 0) & (F.size(best) == 1), F.get(best, 0)).otherwise("unresolved")
+        evidence = F.when(most == 0, "no_evidence").when(F.size(best) > 1, F.concat(F.lit("tie:"), F.array_join(best, "|"))).otherwise(F.concat(F.lit("score:"), most.cast("string")))
+        return F.struct(name.alias("name"), evidence.alias("evidence"))
+
+    # each step is bound to a lambda's variable, so that the text is collapsed and scored once
+    scored = F.transform(F.array(F.lower(collapse(text))), scores)
+    out = F.transform(F.transform(scored, lambda f: F.struct(f.alias("f"), F.array_max(F.transform(f, lambda x: x["n"])).alias("most"))), lambda s: verdict(s["f"], s["most"]))
+    return F.get(out, 0)["name"], F.get(out, 0)["evidence"]
 
 
 def characters_per_second(length: Column | str, duration: Column | str) -> Column:
