@@ -88,6 +88,9 @@ def test_ledger_follows_changes_and_removals(spark):
     n, old, new = count(first[0][4]), count(first[2][4]), count(second[1][4])
     assert {(r["source"], r["language"]): (r["units"], r["tokens"]) for r in delta.collect()} == {("s", "en"): (-1, -n), ("t", "es"): (0, new - old), ("t", "und"): (-1, 0), ("u", "en"): (1, n)}
     assert {(r["source"], r["units"], r["tokens"]) for r in ledger.cube().collect()} == {("s", 1, n), ("t", 1, new), ("u", 1, n)}
+    alone = budget.TokenLedger(spark, shared_path(spark, "t"))
+    alone.load(units(second))
+    assert rows(alone.cube()) == rows(ledger.cube().select(alone.cube().columns))
     # contents that were met before aren't encoded again
     assert spark.read.parquet(ledger._manifest()["counts"][-1]).count() == 1
     # words that tell no language take that of the text they were cut from
