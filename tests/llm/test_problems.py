@@ -190,6 +190,15 @@ def test_turns(spark):
     assert turns.turn_starts(s.limit(0), p).count() == 0 == turns.turn_starts(s, p.limit(0)).count()
 
 
+def test_turns_in_captions_of_round_brackets_notes_and_dashes(spark):
+    segs = ["(Student) x", "(applause)", "we go on (laughs) here", "\u266a x \u266a", "- and on - and on.\n\u2013 Yes", "(Tobin) y", "So. - Marrow: z", "(SIDE CONVERSATION)", "well-known", "\u266b"]
+    s = spark.createDataFrame([(1, i, float(i), t) for i, t in enumerate(segs)], "raw_id bigint, idx int, start double, text string")
+    p = spark.createDataFrame(SPEAKERS, "speaker_id int, full_name string, speaker_role string")
+    assert rows(turns.turn_starts(s, p)) == [(1, 0, 3), (1, 5, 2), (1, 6, 1)]
+    got = turns.speaker_turns(s, p).orderBy("turn").select("speaker_id", "first_index", "words").collect()
+    assert [tuple(r) for r in got] == [(3, 0, "x we go on here x and on - and on. Yes"), (2, 5, "y So."), (1, 6, "z well-known")]
+
+
 # --- 8 packing
 
 

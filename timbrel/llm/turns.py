@@ -44,7 +44,8 @@ _TOKEN = re.compile(
 #: Up to six words, a full stop only after a short one (a title or an initial), perhaps a number, then a colon.
 _LABEL = re.compile(r"(?P<name>(?:[^\W\d_]{1,4}\.\s*|[^\W\d_][\w'’-]*,?\s+){0,5}[^\W\d_][\w'’-]*\.?(?:\s+#?\d{1,2})?)\s*:(?!\d)")
 _FILLER = re.compile(r"(?<![\w'-])(?:um|uh|er)(?![\w'-]),?\s*", re.I)
-_SPECIAL = re.compile(r"[:\[<>]")
+#: What the parser reacts to; a caption without any of it is words only.
+_SPECIAL = re.compile(r"[:\[<>(♪♫]|^\s*[-–—](?=\s)", re.M)
 
 #: States of the parser: at the head of a line, after a speaker mark, after the end of a sentence, in running words.
 HEAD, MARKED, ENDED, WORDS = range(4)
@@ -66,7 +67,7 @@ _NEXT = {
 def parse(text: str) -> list[tuple[str | None, str]]:
     """Pieces (possible label or None, words spoken) of one caption in its consistent form.
 
-    Stamps, tags, sound cues and notes are dropped. Whether a label names anyone isn't known here:
+    Stamps, tags, sound cues, notes and speaker dashes are dropped. Whether a label names anyone isn't known here:
     the words of a piece whose label turns out to name nobody get it back in `turns`.
     """
     pieces: list[tuple[str | None, list[str]]] = [(None, [])]
@@ -89,6 +90,8 @@ def parse(text: str) -> list[tuple[str | None, str]]:
             pieces.append((f"[{m['square']}]", []))
         elif kind == "round" and (m["colon"] or state in (HEAD, MARKED)):
             pieces.append((f"({m['round']})", []))
+        elif kind == "dash" and (state in (HEAD, MARKED) or state == ENDED and _LABEL.match(text, i + len(text[i:]) - len(text[i:].lstrip()))):
+            pass
         elif kind in ("word", "end", "dash", "blank", "line"):
             pieces[-1][1].append(" " if kind in ("blank", "line") else piece)
         state = _NEXT[kind][state] if kind in _NEXT else WORDS
