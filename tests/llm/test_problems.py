@@ -199,6 +199,14 @@ def test_turns_in_captions_of_round_brackets_notes_and_dashes(spark):
     assert [tuple(r) for r in got] == [(3, 0, "x we go on here x and on - and on. Yes"), (2, 5, "y So."), (1, 6, "z well-known")]
 
 
+def test_turns_keep_spoken_words_in_brackets(spark):
+    segs = ["at 10:30 (see figure two) we go on", "now (see figure two) we go on", "(see figure two)", "an array a[i] of [LAUGHTER] it (laughs) [00:01:02] ( 0:10 ) (?)", "[MUSIC PLAYING] yes", "[students laugh and clap loudly] ( 0:10 ) so"]
+    s = spark.createDataFrame([(1, i, float(i), t) for i, t in enumerate(segs)], "raw_id bigint, idx int, start double, text string")
+    p = spark.createDataFrame(SPEAKERS, "speaker_id int, full_name string, speaker_role string")
+    got = turns.speaker_turns(s, p).select("words").collect()
+    assert [r["words"] for r in got] == ["at (see figure two) we go on now (see figure two) we go on (see figure two) an array a [i] of it yes so"]
+
+
 # --- 8 packing
 
 

@@ -19,12 +19,14 @@ from pyspark.sql import types as T
 
 from timbrel.functions.text import millis
 from timbrel.llm import codepoints
+from timbrel.llm.leaks import CUE_WORDS_IN, CUES
 from timbrel.session import table
 
 # Titles and roles that stand beside a name, and what follows the word of a group.
 TITLES = ["professor", "prof", "dr", "doctor", "ta", "mr", "mrs", "ms", "miss", "mx", "sir", "lecturer", "instructor", "teacher", "guest", "assistant", "host", "speaker"]
 COMPANY = ["member", "members"]
 FILLERS = ["um", "uh", "er"]
+_CUES = frozenset(CUES)
 
 _TOKEN = re.compile(
     r"""(?P<stamp>[\[(]?(?<!\d)\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?(?!\d)[\])]?(?:\s*-->\s*[\d:.,]+)?)
@@ -44,6 +46,8 @@ _TOKEN = re.compile(
 #: Up to six words, a full stop only after a short one (a title or an initial), perhaps a number, then a colon.
 _LABEL = re.compile(r"(?P<name>(?:[^\W\d_]{1,4}\.\s*|[^\W\d_][\w'’-]*,?\s+){0,5}[^\W\d_][\w'’-]*\.?(?:\s+#?\d{1,2})?)\s*:(?!\d)")
 _FILLER = re.compile(r"(?<![\w'-])(?:um|uh|er)(?![\w'-]),?\s*", re.I)
+_PART = re.compile(r"[^\W_]+")
+_BARE_STAMP = r"^[\[(]\s*\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?\s*[\])]$"
 #: What the parser reacts to; a caption without any of it is words only.
 _SPECIAL = re.compile(r"[:\[<>(♪♫]|^\s*[-–—](?=\s)", re.M)
 
@@ -67,8 +71,9 @@ _NEXT = {
 def parse(text: str) -> list[tuple[str | None, str]]:
     """Pieces (possible label or None, words spoken) of one caption in its consistent form.
 
-    Stamps, tags, sound cues, notes and speaker dashes are dropped. Whether a label names anyone isn't known here:
-    the words of a piece whose label turns out to name nobody get it back in `turns`.
+    Stamps, tags, notes, speaker dashes and, in running words, sound cues in round brackets are dropped. Whether a label
+    names anyone isn't known here: the words of a piece whose label turns out to name nobody get it back in `speaker_turns`,
+    unless it is a sound cue.
     """
     pieces: list[tuple[str | None, list[str]]] = [(None, [])]
     state, i, n = HEAD, 0, len(text)
@@ -92,12 +97,27 @@ def parse(text: str) -> list[tuple[str | None, str]]:
             pieces.append((f"({m['round']})", []))
         elif kind == "dash" and (state in (HEAD, MARKED) or state == ENDED and _LABEL.match(text, i + len(text[i:]) - len(text[i:].lstrip()))):
             pass
-        elif kind in ("word", "end", "dash", "blank", "line"):
+        elif kind == "round" and not _cue(f"({m['round']})") or kind in ("word", "end", "dash", "blank", "line"):
             pieces[-1][1].append(" " if kind in ("blank", "line") else piece)
         state = _NEXT[kind][state] if kind in _NEXT else WORDS
     return [(a, _spoken("".join(b))) for a, b in pieces if a is not None or b]
 
 
+def _cue(remark: str) -> bool:
+    """Whether a remark, with its brackets, is a stamp or sound cue; `_cue_label` is the same for a column.
+
+    Square brackets hold no spoken words as a rule, so there a cue word is enough; round ones are a cue only if short.
+    """
+    words = _PART.findall(remark.lower())
+    return not words or bool(re.match(_BARE_STAMP, remark)) or (remark[0] == "[" or len(words) <= CUE_WORDS_IN) and not _CUES.isdisjoint(words)
+
+
+def _cue_label(label):
+    words = _parts(label)
+    short = label.startswith("[") | (F.size(words) <= CUE_WORDS_IN)
+    return label.rlike(r"^[\[(]") & ((F.size(words) == 0) | label.rlike(_BARE_STAMP) | short & F.arrays_overlap(words, F.array(*map(F.lit, CUES))))
+
+
 def _spoken(words: str) -> str:
     return " ".join(_FILLER.sub("", words).split())
 
@@ -194,13 +214,15 @@ def speaker_turns(segs: DataFrame, speakers: DataFrame) -> DataFrame:
     """(raw_id, turn, speaker_id, first_index, start_ms, words): ordered turns with their spoken words.
 
     Words before the first label form a turn of a null speaker. A label that names nobody is spoken
-    text, unless it stood in brackets: then it was a sound cue. Turns without words are kept if they
+    text, with its brackets if it stood in some, unless it is a stamp or sound cue. Turns without words are kept if they
     have a speaker.
     """
     said = pieces(segs).select("raw_id", "idx", "start", F.posexplode("pieces").alias("p", "x")).select("raw_id", "idx", "start", "p", "x.label", "x.words")
     who = named(said.where("label is not null").select("label").distinct(), speakers)
     all_ = said.join(who, "label", "left")
-    kept = F.when(F.col("label").isNotNull() & F.col("speaker_id").isNull() & ~F.col("label").rlike(r"^[\[(]"), F.concat_ws(": ", "label", "words")).otherwise(F.col("words"))
+    bracketed = F.col("label").rlike(r"^[\[(]")
+    given_back = F.when(bracketed, F.concat_ws(" ", "label", F.nullif("words", F.lit("")))).otherwise(F.concat_ws(": ", "label", "words"))
+    kept = F.when(F.col("label").isNotNull() & F.col("speaker_id").isNull() & ~_cue_label(F.col("label")), given_back).otherwise(F.col("words"))
     over = W.partitionBy("raw_id").orderBy(*_order())
     so_far = over.rowsBetween(W.unboundedPreceding, 0)
     now = all_.select("raw_id", "idx", "start", "p", kept.alias("words"), F.last("speaker_id", True).over(so_far).alias("speaker_id"))
