@@ -245,6 +245,34 @@ def test_mixture_is_held(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, source string, tokens bigint")).count() == 0
 
 
+def test_shards_stay_bounded_where_nothing_combines(spark):
+    docs = [(i, "abc"[i % 3], 51 + i % 46) for i in range(800)]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint"), 100, shard_tokens=7000).collect()
+    assert len(check_windows(docs, got, 100)) == len(docs)
+    held = {}
+    for r in got:
+        shard = r["window"].rsplit("-", 1)[0]
+        held[shard] = held.get(shard, 0) + r["tokens"]
+    assert max(held.values()) < 2 * 7000
+
+
+def test_deficits_go_from_round_to_round(spark, monkeypatch):
+    rnd, carries, one_round = random.Random(88), [], packing._round
+    monkeypatch.setattr(packing, "_round", lambda *a: carries.append(a[-1]) or one_round(*a))
+    docs = [(i, "a" if i % 4 else "b", rnd.choice([5, 10, 20, 50]) if i % 4 else rnd.choice([10, 67])) for i in range(1500)]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint"), 100, shard_tokens=5000).collect()
+    check_windows(docs, got, 100)
+    first = [r for r in got if r["window"].startswith("1-")]
+    share = sum(n for _, s, n in docs if s == "a") / sum(n for *_, n in docs)
+    owed = share * sum(r["tokens"] for r in first) - sum(r["tokens"] for r in first if r["source"] == "a")
+    assert len(carries) > 1 and carries[0] == {"a": 0.0, "b": 0.0}
+    assert carries[1]["a"] == pytest.approx(owed) == pytest.approx(-carries[1]["b"]) and abs(owed) > 1
+    # what is owed is given first
+    items = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(40)], "item bigint, source string, tokens bigint")
+    held = one_round(items, {"a": 0.5, "b": 0.5}, 1, 100, 2, {"a": 100.0, "b": -100.0}).where("window = '2-0-0'")
+    assert {r["source"] for r in held.collect()} == {"a"}
+
+
 # --- 9 leaks
 
 PASSAGE = "the one two three four five six seven eight nine ten eleven twelve thirteen fourteen"

@@ -5,7 +5,9 @@ each window, spends it on the items taken, and carries what is left into the nex
 spread over bounded shards by a hash, so that each shard has every source and no source makes a shard
 large; what the shards before it have given of each source is known from their totals, so the
 deficits carried into a shard come from a prefix sum and all shards are packed at once. Windows that
-end badly filled are opened again and their items packed together in a later round of fewer shards.
+end badly filled are opened again and their items packed together in a later round of half the shards
+or fewer, which starts with the deficits that the closed windows leave. If the items still need more
+shards than that (they don't combine well), the windows stay as they are: a shard is never made larger.
 Only ids, sources and sizes are shuffled.
 """
 
@@ -85,17 +87,17 @@ def _pack(capacity: int):
     return run
 
 
-def _round(items: DataFrame, shares: dict[str, float], shards: int, capacity: int, number: int) -> DataFrame:
-    """(item, source, tokens) to (window, item, source, tokens, fill)."""
+def _round(items: DataFrame, shares: dict[str, float], shards: int, capacity: int, number: int, carry: dict[str, float]) -> DataFrame:
+    """(item, source, tokens) to (window, item, source, tokens, fill). carry: the deficits of the rounds before."""
     placed = items.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(shards)))
     given = placed.groupBy("shard", "source").agg(F.sum("tokens").alias("n"))
     # every source in every shard, so that a source that is missing in one still earns its share there
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.lit(float(x)).alias("share")) for s, x in sorted(shares.items()))))
-    grid = placed.select("shard").distinct().select("shard", each.alias("e")).select("shard", "e.source", "e.share")
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.lit(float(x)).alias("share"), F.lit(float(carry[s])).alias("carry")) for s, x in sorted(shares.items()))))
+    grid = placed.select("shard").distinct().select("shard", each.alias("e")).select("shard", "e.source", "e.share", "e.carry")
     total = grid.join(given, ["shard", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = total.withColumn("all", F.sum("n").over(W.partitionBy("shard")))
     before = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    carried = total.select("shard", "source", "share", F.coalesce(F.sum(F.col("share") * F.col("all") - F.col("n")).over(before), F.lit(0.0)).alias("carried"))
+    carried = total.select("shard", "source", "share", (F.col("carry") + F.coalesce(F.sum(F.col("share") * F.col("all") - F.col("n")).over(before), F.lit(0.0))).alias("carried"))
     ready = placed.join(carried, ["shard", "source"])
     packed = ready.groupBy("shard").applyInPandas(_pack(capacity), _OUT)
     window = F.concat_ws("-", F.lit(number), "shard", "slot")
@@ -127,20 +129,26 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float
     want = {r["source"]: (r["n"] / total if shares is None else shares.get(r["source"], 0.0)) for r in sums}
     scale = sum(want.values()) or 1.0
     share = {s: v / scale for s, v in want.items()}
-    shards, number, done = max(1, -(-total // shard_tokens), -(-count // SHARD_ITEMS)), 1, []
+
+    def needed(n: int, k: int) -> int:
+        return max(1, -(-n // shard_tokens), -(-k // SHARD_ITEMS))
+
+    shards, number, done, carry = needed(total, count), 1, [], dict.fromkeys(share, 0.0)
     todo = left.select("item", "source", "tokens")
     while True:
-        got = cut(_round(todo, share, shards, capacity, number))
-        if shards == 1:
+        got = cut(_round(todo, share, shards, capacity, number, carry))
+        closed = F.col("fill") >= FULL * capacity
+        sums = got.groupBy("source").agg(F.sum(F.when(closed, F.col("tokens")).otherwise(0)).alias("closed"), F.sum(F.when(closed, 0).otherwise(F.col("tokens"))).alias("n"), F.count_if(~closed).alias("k")).collect()
+        more = needed(sum(r["n"] for r in sums), sum(r["k"] for r in sums))
+        # half the shards each round, so that the rounds end; where the open windows need more, another round would close little
+        if more > shards // 2 or not any(r["k"] for r in sums):
             done.append(got)
             break
-        done.append(got.where(F.col("fill") >= FULL * capacity))
-        todo = got.where(F.col("fill") < FULL * capacity).select("item", "source", "tokens")
-        n, k = todo.agg(F.sum("tokens"), F.count("*")).first()
-        if not k:
-            break
-        # fewer shards each round, so that the rounds end
-        shards, number = min(max(1, -(-n // shard_tokens), -(-k // SHARD_ITEMS)), shards // 2), number + 1
+        done.append(got.where(closed))
+        todo = got.where(~closed).select("item", "source", "tokens")
+        gone, spent = sum(r["closed"] for r in sums), {r["source"]: r["closed"] for r in sums}
+        carry = {s: carry[s] + share[s] * gone - spent.get(s, 0) for s in share}
+        shards, number = more, number + 1
     packed = done[0]
     for d in done[1:]:
         packed = packed.unionByName(d)
