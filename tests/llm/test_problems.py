@@ -127,6 +127,18 @@ def test_pairs_of_looks(spark):
     assert rows(lookalike.consistent_text(extra, "text").fillna("-")) == [(1, "-", "x"), (2, "fi", "-")]
 
 
+@needs_data
+def test_consistent_text_of_both_tables(spark):
+    got = lookalike.p4_consistent(spark, SF)
+    ids = {"transcripts": "transcript_id", "transcripts_raw": "raw_id"}
+    for name, c in ids.items():
+        want = spark.read.parquet(f"{SF}/{name}.parquet").select(F.col(c).cast("bigint"))
+        assert rows(got.where(F.col("tbl") == name).select("id")) == rows(want)
+    looks = {(r["tbl"], r["id"]): r["consistent_text"] for r in got.collect()}
+    pairs = lookalike.p4_found(spark, SF).collect()
+    assert pairs and all(looks[r["tbl"], r["id_a"]] == looks[r["tbl"], r["id_b"]] is not None for r in pairs)
+
+
 # --- 6 runs
 
 

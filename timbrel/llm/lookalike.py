@@ -29,12 +29,17 @@ def consistent_text(df: DataFrame, column: str, fold_case: bool = False) -> Data
     return df.mapInArrow(run, df.schema)
 
 
-def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """(tbl, id, video, text): raw_text of transcripts, and the joined segments of each delivery."""
+def stored_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(tbl, id, video, text) of every row: raw_text of transcripts, and the joined segments of each delivery."""
     a = table(spark, sf, "transcripts").select(F.lit("transcripts").alias("tbl"), F.col("transcript_id").cast("bigint").alias("id"), strip("video_id").alias("video"), F.col("raw_text").alias("text"))
     joined = F.array_join(F.transform("segments", lambda s: s["text"]), "\n")
     b = table(spark, sf, "transcripts_raw").select(F.lit("transcripts_raw").alias("tbl"), F.col("raw_id").alias("id"), strip("video_id").alias("video"), joined.alias("text"))
-    return a.unionByName(b).where("video is not null and text is not null")
+    return a.unionByName(b)
+
+
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored texts that can be compared: those with a video and a text."""
+    return stored_texts(spark, sf).where("video is not null and text is not null")
 
 
 def digests(texts: DataFrame) -> DataFrame:
@@ -70,9 +75,8 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_consistent(spark: SparkSession, sf: str) -> DataFrame:
-    """raw_text in its consistent form."""
-    t = table(spark, sf, "transcripts").select("transcript_id", F.col("raw_text").alias("consistent_text"))
-    return consistent_text(t, "consistent_text")
+    """(tbl, id, consistent_text) of every transcript and every delivery; null stays null."""
+    return consistent_text(stored_texts(spark, sf).select("tbl", "id", F.col("text").alias("consistent_text")), "consistent_text")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p4_consistent)}
