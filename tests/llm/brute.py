@@ -5,14 +5,27 @@ import re
 import unicodedata
 from collections import defaultdict
 
-from timbrel.llm import codepoints as C
-from timbrel.llm.turns import TITLES
+#: Its own tables, not those of the library: letters of one shape, and words beside a name.
+SHAPES = dict(zip("АВСЕНІЈКМОРЅТХУасеіјорѕхуӏԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲν", "ABCEHIJKMOPSTXYaceijopsxyldqwhABEZHIKMNOPTYXocv"))
+TITLES = {"professor", "prof", "dr", "doctor", "ta", "mr", "mrs", "ms", "miss", "mx", "sir", "lecturer", "instructor", "teacher", "guest", "assistant", "host", "speaker"}
 
 
 def look(text: str, fold: bool = False) -> str:
-    rule = C._folded if fold else C._expansion
-    out = "".join(chr(y) for ch in text for y in rule(ord(ch)))
-    return unicodedata.normalize("NFC", out)
+    """One look by the standard library: a character at a time, then composed; case afterwards."""
+    out = []
+    for ch in text:
+        kind, wide = unicodedata.category(ch), unicodedata.decomposition(ch)[:6]
+        if kind == "Cf" or kind == "Cc" and not ch.isspace():
+            continue
+        if kind == "Zs" and ch != "\u3000":
+            ch = " "
+        elif wide in ("<wide>", "<narro") and ch != "\u3000" or "\ufb00" <= ch <= "\ufb06":
+            ch = unicodedata.normalize("NFKC", ch)
+            ch = "\u3099" if ch == "\u309b" else ch
+        out.append(ch)
+    text = "".join(SHAPES.get(ch, ch) for ch in unicodedata.normalize("NFD", "".join(out)))
+    text = unicodedata.normalize("NFC", text)
+    return unicodedata.normalize("NFC", text.casefold()) if fold else text
 
 
 def ordered(segments):

@@ -172,11 +172,46 @@ def test_runs_across_tasks(spark):
 
 def test_similar_runs_and_gaps(spark):
     data = [("a", 0, 0.0, 1.0, "the quick brown fox"), ("a", 1, 1.0, 1.0, "the quick brown fix"), ("a", 2, 2.0, 1.0, "the quack brown fix"), ("a", 3, 60.0, 1.0, "the quick brown fox"), ("a", 4, 61.0, 1.0, "another thing")]
-    near = runs.collapse_runs(events(spark, data), similarity=0.85, max_gap_ms=5000)
+    near = runs.collapse_runs(events(spark, data), similarity=0.65, max_gap_ms=5000)
     assert rows(near.select("first_index", "last_index", "n")) == [(0, 2, 3), (3, 3, 1), (4, 4, 1)]
     assert runs.collapse_runs(events(spark, [("a", 0, 0.0, 1.0, "x"), ("a", 1, 9.0, 1.0, "x")]), 2, max_gap_ms=5000).count() == 0
 
 
+@pytest.mark.parametrize("similarity, gap", [(0.8, None), (0.8, 1500), (1.0, 1500), (0.6, 700)])
+def test_hot_entity_is_walked_by_many_tasks(spark, similarity, gap):
+    """Against a plain walk of each entity: drifting texts, so that runs depend on their anchors and cross tasks."""
+    rnd = random.Random(66)
+    data, text, t = [], "abcdefghijklmnopqrst", 0
+    for i in range(3000):
+        if rnd.random() < 0.4:
+            k = rnd.randrange(len(text))
+            text = text[:k] + rnd.choice("abcxyz") + text[k + 1 :]
+        if rnd.random() < 0.02:
+            text = "".join(rnd.choice("abcdefghij") for _ in range(20))
+        t += rnd.choice([0, 500, 500, 1000, 3000])
+        data.append(("hot" if i < 2500 else f"e{i % 3}", i, t / 1000, rnd.choice([0.5, 1.0, 2.0, None]), text))
+    want = []
+    for entity in sorted({d[0] for d in data}):
+        run = None
+        for _, i, s, d, x in (e for e in data if e[0] == entity):
+            start, end = round(s * 1000), round(s * 1000 + (d or 0) * 1000)
+            if run and runs.likeness(run[4], x) >= similarity and (gap is None or start - run[3] <= gap):
+                run[1], run[2], run[3] = i, run[2] + 1, max(run[3], end)
+                continue
+            if run:
+                want.append((entity, *run[:3]))
+            run = [i, i, 1, end, x]
+        want.append((entity, *run[:3]))
+    got = runs.collapse_runs(events(spark, data).repartition(3), similarity=similarity, max_gap_ms=gap)
+    assert rows(got.select("entity", "first_index", "last_index", "n")) == sorted(want)
+
+
+def test_small_letters_follow_their_own_shape(spark):
+    data = [("a", i, float(i), 1.0, t) for i, t in enumerate(["М", "M", "m", "м", "м", "α", "a", "STRASSE", "straße"])]
+    got = runs.collapse_runs(events(spark, data), least=2)
+    assert rows(got.select("first_index", "last_index")) == [(0, 2), (3, 4), (7, 8)]
+
+
 # --- 7 turns
 
 SPEAKERS = [(1, "Ilse Marrow", "instructor"), (2, "Tobin Keshwick", "guest"), (3, "Student", "unnamed"), (4, "Audience", "unnamed")]

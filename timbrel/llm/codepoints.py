@@ -68,20 +68,9 @@ def _expansion(cp: int) -> tuple[int, ...]:
     return tuple(x for p in parts for x in _expansion(int(p, 16)))
 
 
-@cache
-def _other_case() -> dict[str, str]:
-    """Lower-case letters whose capital looks like a Latin one though they don't: they follow it."""
-    pairs = ((up.lower(), lat.lower()) for up, lat in LOOKALIKE.items() if up != up.lower())
-    return {low: lat for low, lat in pairs if low not in LOOKALIKE and len(low) == 1}
-
-
 def _folded(cp: int) -> tuple[int, ...]:
-    out: list[int] = []
-    for x in _expansion(cp):
-        ch = chr(x)
-        for y in _other_case().get(ch) or ch.casefold():
-            out += _expansion(ord(y))
-    return tuple(out)
+    """One look first, then one case: a small letter follows its own shape, not that of its capital."""
+    return tuple(z for x in _expansion(cp) for y in chr(x).casefold() for z in _expansion(ord(y)))
 
 
 class Form:
