@@ -75,11 +75,11 @@ def test_store_keeps_one_copy_and_touches_few_partitions(spark):
     store = MessageStore(spark, shared_path(spark, "t"), ["v", "t"], "n", "month")
     kind = "v string, t bigint, n bigint, month string, w int, _part string"
     first = [("a", 1, 1, "01", 0, "x"), ("a", 1, 2, "01", 0, "y"), ("b", 1, 3, "02", 0, None), (None, 1, 4, "02", 0, None), ("c", 1, 5, None, 0, None)]
-    assert store.upsert(spark.createDataFrame(first, kind)) == {"before": 0, "looked_up": 0, "written": 3}
+    assert store.upsert(spark.createDataFrame(first, kind)) == {"before": 0, "looked_up": 0, "written": 3, "buckets_read": 0}
     # a later copy of b, a new message in January, and an earlier copy that was delivered late
     second = [("b", 1, 9, "03", 1, None), ("d", 1, 8, "01", 1, None), ("c", 1, 0, "03", 1, "late")]
     done = store.upsert(spark.createDataFrame(second, kind))
-    assert done == {"before": 3, "looked_up": 2, "written": 3}
+    assert done == {"before": 3, "looked_up": 2, "written": 3, "buckets_read": done["buckets_read"]} and 1 <= done["buckets_read"] <= 3
     assert rows(store.read().select("v", "n")) == [("a", 1), ("b", 3), ("c", 0), ("d", 8)]
     assert store.read().where("v = 'c'").first()["_part_input"] == "late"
     assert store.upsert(spark.createDataFrame([], kind))["written"] == 0
@@ -91,10 +91,29 @@ def test_unpublished_batch_is_invisible(spark):
     store = MessageStore(spark, shared_path(spark, "t"), ["v"], "n", "p")
     store.upsert(spark.createDataFrame([("a", 1, "x")], "v string, n int, p string"))
     before = store.manifest()
-    store.files.publish = lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    store.store.publish = lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
     with pytest.raises(RuntimeError):
         store.upsert(spark.createDataFrame([("b", 2, "x")], "v string, n int, p string"))
     assert store.manifest() == before and store.read().count() == 1
+    # what the lost batch wrote is removed, what is in force isn't
+    del store.store.publish
+    assert store.vacuum() and store.read().count() == 1 and store.vacuum() == []
+    store.upsert(spark.createDataFrame([("b", 2, "x")], "v string, n int, p string"))
+    assert rows(store.read().select("v", "n")) == [("a", 1), ("b", 2)]
+
+
+def test_small_batches_read_few_buckets_and_index_is_put_together(spark):
+    store = MessageStore(spark, shared_path(spark, "t"), ["v"], "n", "p", buckets=16)
+    kind = "v string, n int, p string"
+    store.upsert(spark.createDataFrame([(f"k{i}", i, f"p{i % 5}") for i in range(500)], kind))
+    for i in range(12):
+        done = store.upsert(spark.createDataFrame([("k7", 900, "p9"), (f"new{i}", i, "p9")], kind))
+        assert done["buckets_read"] <= 2 and done["looked_up"] <= 2
+    m = store.manifest()
+    assert max(map(len, m["index"].values())) <= 9 and max(map(len, m["parts"].values())) <= 9
+    assert store.read().count() == 512 and store.read().where("v = 'k7'").first()["p"] == "p2"
+    store.vacuum()
+    assert store.read().count() == 512 and store.upsert(spark.createDataFrame([("k8", 0, "p9")], kind))["looked_up"] == 1
 
 
 # --- keys

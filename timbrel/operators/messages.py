@@ -1,52 +1,25 @@
 """Exactly one copy of each message, kept in a partitioned store that is updated in place.
 
 The store holds the winners, partitioned by when they arrived, and an index that names each
-identifier's partition. A batch looks its identifiers up in the index, only the partitions found are
-read, combined with the batch and reduced to one winner per identifier, and only they are written
-again. A batch becomes visible when its manifest is renamed into place, so a lost executor or a
-failed job leaves the store as it was.
+identifier's partition. The index lies in buckets by a hash of the identifier. A batch reads only the
+buckets of its identifiers, there finds the partitions that hold them, and reads only those; they are
+combined with the batch, reduced to one winner per identifier and written again. A batch becomes
+visible when its manifest is renamed into place, so a lost executor or a failed job leaves the store
+as it was.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbrel.functions.naming import spared
+from timbrel.operators.store import MOST_DIRS, Store, bucket
 
 #: Columns that the store adds; rows that have such a column get it back as <name>_input.
-INTERNAL = ["_part", "_held", "_dir", "w"]
-
-
-class _Files:
-    """The few operations on the shared file system that the manifest needs."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        self.fs = self.path(path).getFileSystem(self.conf)
-
-    def path(self, p: str):
-        return self.jvm.org.apache.hadoop.fs.Path(p)
-
-    def names(self, p: str) -> list[str]:
-        return [s.getPath().getName() for s in self.fs.listStatus(self.path(p))] if self.fs.exists(self.path(p)) else []
-
-    def read(self, p: str) -> str:
-        stream = self.fs.open(self.path(p))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def publish(self, p: str, text: str) -> None:
-        """Write beside, then rename: readers see the whole file or none."""
-        stream = self.fs.create(self.path(p + ".tmp"), True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if not self.fs.rename(self.path(p + ".tmp"), self.path(p)):
-            raise RuntimeError(f"another writer has published {p}")
+INTERNAL = ["_part", "_held", "_dir", "_new", "_bucket", "w"]
+#: Buckets of the index; a batch reads those that its identifiers fall into.
+BUCKETS = 32
 
 
 class MessageStore:
@@ -58,60 +31,54 @@ class MessageStore:
     equal orders leave one copy. An empty batch changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], order: str, part: str) -> None:
-        self.spark, self.root, self.key, self.order, self.part = spark, path.rstrip("/"), key, order, part
-        self.files = _Files(spark, self.root)
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: str, part: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.key, self.order, self.part, self.buckets = spark, key, order, part, buckets
+        self.store = Store(spark, path)
 
     def manifest(self) -> dict:
-        found = sorted(n for n in self.files.names(f"{self.root}/manifest") if n.endswith(".json"))
-        return json.loads(self.files.read(f"{self.root}/manifest/{found[-1]}")) if found else {"version": 0, "parts": {}, "index": []}
-
-    def _read(self, parts: dict[str, list[str]]) -> DataFrame | None:
-        paths = sorted(d for dirs in parts.values() for d in dirs)
-        return self.spark.read.parquet(*paths) if paths else None
+        return {"parts": {}, "index": {}, "buckets": self.buckets} | self.store.manifest()
 
     def read(self) -> DataFrame | None:
         """All winners; None before the first batch."""
-        return self._read(self.manifest()["parts"])
+        held = self.store.read(self.manifest()["parts"])
+        return held.drop("_new") if held is not None else None
 
     def upsert(self, incoming: DataFrame) -> dict:
-        """Merge a batch; returns how many partitions there were, were looked up and were written."""
+        """Merge a batch; returns how many partitions there were, were looked up and were written, and how many index buckets were read."""
         now = self.manifest()
-        version = now["version"] + 1
+        version, buckets = now["version"] + 1, now["buckets"]
         incoming = spared(incoming.dropna(subset=self.key), INTERNAL).withColumn("_part", F.coalesce(F.col(self.part).cast("string"), F.lit("unknown")))
-        history, known, touched = None, None, []
+        history, asked, touched = None, [], set()
         if now["index"]:
-            known = self.spark.read.parquet(*now["index"])
-            keys = incoming.select(*self.key).distinct()
-            touched = sorted(r[0] for r in known.join(keys, self.key, "left_semi").select("_part").distinct().collect())
-            history = self._read({p: now["parts"][p] for p in touched})
+            keys = incoming.select(*self.key, bucket(self.key, buckets).alias("_bucket"))
+            asked = [b for (b,) in keys.select("_bucket").distinct().collect() if b in now["index"]]
+            known = self.store.read(now["index"], asked)
+            if known is not None:
+                touched = {p for (p,) in known.join(keys.drop("_bucket"), self.key, "left_semi").select("_part").distinct().collect()}
+            touched |= {p for p, dirs in now["parts"].items() if len(dirs) > MOST_DIRS}
+            history = self.store.read(now["parts"], touched)
         both = incoming.withColumn("_held", F.lit(None).cast("string"))
         if history is not None:
-            both = both.unionByName(history.withColumn("_held", F.col("_part")))
+            both = both.unionByName(history.drop("_new").withColumn("_held", F.col("_part")))
         rest = [c for c in incoming.columns if c not in [*self.key, "_part"]]
         # a known message stays in the partition that holds it, whichever copy wins: the index stays true
         winners = both.groupBy(*self.key).agg(F.min_by(F.struct(*rest, "_part"), F.struct(self.order, "_part")).alias("w"), F.max("_held").alias("_held"))
-        winners = winners.select(*self.key, *[F.col(f"w.{c}").alias(c) for c in rest], F.coalesce("_held", "w._part").alias("_part"))
-        data = f"{self.root}/data/{version:09d}"
-        # a copy of the partition name goes into the directories, so that the column stays in the files
-        winners.withColumn("_dir", F.col("_part")).hint("rebalance", "_dir").write.partitionBy("_dir").parquet(data)
-        written = self.files.names(data)
-        new_dirs = {self._value(n): f"{data}/{n}" for n in written if n.startswith("_dir=")}
+        winners = winners.select(*self.key, *[F.col(f"w.{c}").alias(c) for c in rest], F.coalesce("_held", "w._part").alias("_part"), F.col("_held").isNull().alias("_new"))
+        written = self.store.write(winners, "_part", "data", version)
         # a partition that was looked up is replaced; one that only gains messages keeps its files
-        parts = now["parts"] | {p: ([] if p in touched else now["parts"].get(p, [])) + [d] for p, d in new_dirs.items()}
-        fresh = self._read({p: [d] for p, d in new_dirs.items()})
-        index = list(now["index"])
+        parts = now["parts"] | {p: ([] if p in touched else now["parts"].get(p, [])) + [d] for p, d in written.items()}
+        index = dict(now["index"])
+        fresh = self.store.read({p: [d] for p, d in written.items()})
         if fresh is not None:
-            new = fresh.select(*self.key, "_part")
-            if known is not None:
-                new = new.join(known, self.key, "left_anti")
-            new.write.parquet(f"{self.root}/index/{version:09d}")
-            index.append(f"{self.root}/index/{version:09d}")
-        self.files.publish(f"{self.root}/manifest/{version:09d}.json", json.dumps({"version": version, "parts": parts, "index": index}))
-        return {"before": len(now["parts"]), "looked_up": len(touched), "written": len(new_dirs)}
-
-    @staticmethod
-    def _value(directory: str) -> str:
-        from urllib.parse import unquote
-
-        return unquote(directory.split("=", 1)[1])
+            new = fresh.where("_new").select(*self.key, "_part", bucket(self.key, buckets).alias("_bucket"))
+            for b, d in self.store.write(new, "_bucket", "index", version).items():
+                index[b] = [*index.get(b, []), d]
+        full = {b: dirs for b, dirs in index.items() if len(dirs) > MOST_DIRS}
+        if full:
+            index |= {b: [d] for b, d in self.store.write(self.store.read(full), "_bucket", "index", version).items()}
+        self.store.publish({"version": version, "parts": parts, "index": index, "buckets": buckets})
+        return {"before": len(now["parts"]), "looked_up": len(touched), "written": len(written), "buckets_read": len(asked)}
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Remove what versions before the last `keep` alone have used."""
+        return self.store.vacuum(keep)
