@@ -21,11 +21,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.llm.tokenizers import DEFAULT, FOLDER, with_token_count
-from timbrel.session import cut, table
+from timbrel.session import cut, ship, table
 
 CAPACITY = 4096
-#: Tokens and items that one shard packs on average; a shard is held by one task.
-SHARD_TOKENS, SHARD_ITEMS = 4_000_000, 50_000
+#: Tokens and items that one shard packs on average; a shard is held by one task. 125 windows suffice for a mixture.
+SHARD_TOKENS, SHARD_ITEMS = 125 * CAPACITY, 5_000
 #: A window at least so full is closed.
 FULL = 0.98
 
@@ -104,7 +104,13 @@ def _round(items: DataFrame, shares: dict[str, float], shards: int, capacity: in
     return packed.select(window.alias("window"), "item", "fill").join(items, "item")
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float] | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def tempered(sums: dict[str, int], power: float) -> dict[str, float]:
+    """Target proportions of sources from their tokens: power 1 is their own part of all tokens, 0 the same for each."""
+    total = sum(n**power for n in sums.values()) or 1.0
+    return {s: n**power / total for s, n in sums.items()}
+
+
+def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float] | None = None, shard_tokens: int = SHARD_TOKENS, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(doc_id, source, tokens) to (window, doc_id, piece, source, tokens, fill).
 
     A document above the capacity is divided into full pieces, each a window of its own, and a rest;
@@ -113,6 +119,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float
     queue of its own. Equal documents are separate items. The list of sources (not their documents)
     is held by the driver.
     """
+    ship(documents.sparkSession)
     docs = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "tokens").where("tokens > 0")
     rest = F.col("tokens") % capacity
     size = F.when(F.col("tokens") <= capacity, F.col("tokens")).otherwise(rest).cast("bigint")
@@ -131,7 +138,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float
     share = {s: v / scale for s, v in want.items()}
 
     def needed(n: int, k: int) -> int:
-        return max(1, -(-n // shard_tokens), -(-k // SHARD_ITEMS))
+        return max(1, -(-n // shard_tokens), -(-k // shard_items))
 
     shards, number, done, carry = needed(total, count), 1, [], dict.fromkeys(share, 0.0)
     todo = left.select("item", "source", "tokens")
@@ -165,13 +172,43 @@ def p8_windows(spark: SparkSession, sf: str) -> DataFrame:
     return pack(sized(spark, sf))
 
 
+def mixture(rows: DataFrame, targets: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(source, target) and the packed windows to each source's tokens, windows, share of all, and distance from the target.
+
+    mean_distance is the mean over all windows of |source's part of the window - target|, windows
+    without the source included; filled and all_windows hold for all windows together.
+    """
+    windows = rows.groupBy("window").agg(F.sum("tokens").alias("size"))
+    per = rows.groupBy("window", "source").agg(F.sum("tokens").alias("n")).join(windows, "window").join(targets, "source")
+    off = F.sum(F.abs(F.col("n") / F.col("size") - F.col("target")) - F.col("target"))
+    part = per.groupBy("source", "target").agg(F.sum("n").alias("tokens"), F.count("*").alias("windows"), off.alias("off"))
+    all_ = windows.agg(F.sum("size").alias("t"), F.count("*").alias("w"))
+    # a window without the source is as far from the target as the target is from nothing
+    distance = (F.col("off") + F.col("target") * F.col("w")) / F.col("w")
+    out = part.join(F.broadcast(all_))  # one row
+    return out.select("source", F.round("target", 6).alias("target"), "tokens", "windows", F.round(F.col("tokens") / F.col("t"), 6).alias("share"), F.round(distance, 6).alias("mean_distance"), F.round(F.col("t") / (F.col("w") * capacity), 6).alias("filled"), F.col("w").alias("all_windows"))
+
+
+def _mixed(spark: SparkSession, sf: str, power: float) -> DataFrame:
+    docs = cut(sized(spark, sf))
+    sums = {r["source"]: r["n"] for r in docs.where("tokens > 0").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum("tokens").alias("n")).collect()}
+    shares = tempered(sums, power)
+    targets = spark.createDataFrame(sorted(shares.items()), "source string, target double")
+    return mixture(pack(docs, shares=shares), targets)
+
+
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """How full the windows are, and how far each source's part of a window is from its target on average."""
-    rows = pack(sized(spark, sf))
-    all_ = rows.agg(F.sum("tokens").alias("t"), F.count_distinct("window").alias("w"))
-    part = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_distinct("window").alias("windows"))
-    return part.join(all_).select("source", "tokens", "windows", F.round(F.col("tokens") / F.col("t"), 6).alias("share"), F.round(F.col("t") / (F.col("w") * CAPACITY), 6).alias("filled"), F.col("w").alias("all_windows"))
+    """How full the windows are, and how far each source's part of a window is from its part of all tokens on average."""
+    return _mixed(spark, sf, 1.0)
+
+
+def p8_tempered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where small sources are to have more than their part: targets are the roots of the sources' tokens.
+
+    Every document is packed, so a source that is wanted more than it has runs dry and the windows after that hold the others.
+    """
+    return _mixed(spark, sf, 0.5)
 
 
-QUERIES = {f.__name__: f for f in (p8_windows, p8_fill)}
+QUERIES = {f.__name__: f for f in (p8_windows, p8_fill, p8_tempered)}
 SQL: dict[str, str] = {}
