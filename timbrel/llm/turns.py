@@ -2,8 +2,11 @@
 
 A finite-state line parser walks each caption and hands out pieces: what may be a label, and the
 words spoken after it. Which of the possible labels name a speaker is settled by joins of the
-distinct label spellings with the table of speakers, so neither table has to fit anywhere. Pieces
-of one speaker that follow each other are merged by a window over the payload's own segments.
+distinct label spellings with the table of speakers, so neither table has to fit anywhere. Captions
+of a payload lie in one row: they are parsed once, and the pieces are walked in that row, where those
+of one speaker that follow each other are merged; no text is shuffled. The labels found to name
+someone go to all tasks if there are at most MOST_LABELS; beyond that each payload gets its own by a
+join.
 """
 
 from __future__ import annotations
@@ -11,16 +14,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timbrel.functions.text import millis
 from timbrel.llm import codepoints
 from timbrel.llm.leaks import CUE_WORDS_IN, CUES
-from timbrel.session import table
+from timbrel.session import kept, ship, table
+
+#: Spellings that name a speaker, of at most 80 characters, that go to every task.
+MOST_LABELS = 100_000
 
 # Titles and roles that stand beside a name, and what follows the word of a group.
 TITLES = ["professor", "prof", "dr", "doctor", "ta", "mr", "mrs", "ms", "miss", "mx", "sir", "lecturer", "instructor", "teacher", "guest", "assistant", "host", "speaker"]
@@ -48,8 +53,9 @@ _LABEL = re.compile(r"(?P<name>(?:[^\W\d_]{1,4}\.\s*|[^\W\d_][\w'’-]*,?\s+){0,
 _FILLER = re.compile(r"(?<![\w'-])(?:um|uh|er)(?![\w'-]),?\s*", re.I)
 _PART = re.compile(r"[^\W_]+")
 _BARE_STAMP = r"^[\[(]\s*\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?\s*[\])]$"
-#: What the parser reacts to; a caption without any of it is words only.
-_SPECIAL = re.compile(r"[:\[<>(♪♫]|^\s*[-–—](?=\s)", re.M)
+#: What the parser reacts to, a dash apart; a caption without any of it is words only. Without the first four it holds no label.
+_SPECIAL = np.array([ord(c) for c in ":[<(>♪♫-–—"])
+_LABELLED = _SPECIAL[:4]
 
 #: States of the parser: at the head of a line, after a speaker mark, after the end of a sentence, in running words.
 HEAD, MARKED, ENDED, WORDS = range(4)
@@ -104,7 +110,7 @@ def parse(text: str) -> list[tuple[str | None, str]]:
 
 
 def _cue(remark: str) -> bool:
-    """Whether a remark, with its brackets, is a stamp or sound cue; `_cue_label` is the same for a column.
+    """Whether a remark, with its brackets, is a stamp or sound cue.
 
     Square brackets hold no spoken words as a rule, so there a cue word is enough; round ones are a cue only if short.
     """
@@ -112,38 +118,53 @@ def _cue(remark: str) -> bool:
     return not words or bool(re.match(_BARE_STAMP, remark)) or (remark[0] == "[" or len(words) <= CUE_WORDS_IN) and not _CUES.isdisjoint(words)
 
 
-def _cue_label(label):
-    words = _parts(label)
-    short = label.startswith("[") | (F.size(words) <= CUE_WORDS_IN)
-    return label.rlike(r"^[\[(]") & ((F.size(words) == 0) | label.rlike(_BARE_STAMP) | short & F.arrays_overlap(words, F.array(*map(F.lit, CUES))))
-
-
 def _spoken(words: str) -> str:
     return " ".join(_FILLER.sub("", words).split())
 
 
-PIECES = T.StructField("pieces", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("words", T.StringType())])))
+PIECES = "pieces array<struct<idx:int,start_ms:bigint,label:string,words:string>>"
+_PIECES = pa.list_(pa.struct([("idx", pa.int32()), ("start_ms", pa.int64()), ("label", pa.string()), ("words", pa.string())]))
 
 
-def pieces(segments: DataFrame, labels_only: bool = False) -> DataFrame:
-    """(raw_id, idx, start, text) with `pieces` in place of text; with labels_only captions without a label give none."""
-    segments = segments.select("raw_id", "idx", "start", "text")
-    at = segments.columns.index("text")
-    kind = pa.list_(pa.struct([("label", pa.string()), ("words", pa.string())]))
+def pieces(payloads: DataFrame, labels_only: bool = False) -> DataFrame:
+    """(raw_id, segments with text and start) to (raw_id, pieces in segment order); with labels_only pieces without a label are left out."""
+    rows = payloads.select("raw_id", F.transform("segments", lambda s: s["text"]).alias("texts"), F.transform("segments", lambda s: s["start"].cast("double")).alias("starts"))
+    kind = payloads.schema["raw_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in codepoints.consistent(b.column(at)).to_pylist():
-                if t is None:
-                    out.append([])
-                elif _SPECIAL.search(t):
-                    out.append([{"label": a, "words": None if labels_only else w} for a, w in parse(t) if a is not None or not labels_only])
-                else:
-                    out.append([] if labels_only else [{"label": None, "words": _spoken(t)}])
-            yield b.remove_column(at).append_column("pieces", pa.array(out, kind))
-
-    return segments.mapInArrow(run, T.StructType([*(f for f in segments.schema if f.name != "text"), PIECES]))
+            # few payloads at a time: what is held doesn't grow with the batch
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                yield pa.record_batch([part.column(0), _parsed(part.column(1), part.column(2), labels_only)], names=["raw_id", "pieces"])
+
+    ship(payloads.sparkSession)
+    return rows.mapInArrow(run, f"raw_id {kind}, {PIECES}")
+
+
+def _parsed(texts: pa.Array, starts: pa.Array, labels_only: bool) -> pa.Array:
+    flat, when = codepoints.consistent(texts.flatten()), starts.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    asks = np.zeros(len(flat), bool)
+    for i, j, cps, rows in codepoints.slices(flat):
+        hit = np.concatenate([[0], np.cumsum(np.isin(cps, _LABELLED if labels_only else _SPECIAL))])
+        asks[i:j] = hit[rows[1:]] > hit[rows[:-1]]
+    said: list[list[tuple]] = [[] for _ in range(len(flat))]
+    for k in range(len(flat)) if not labels_only else np.flatnonzero(asks).tolist():
+        t = flat[k].as_py()
+        if t is not None:
+            found = parse(t) if asks[k] else [(None, _spoken(t))]
+            said[k] = [(a, None) for a, _ in found if a is not None] if labels_only else found
+    out, at = [], 0
+    sizes = texts.value_lengths().to_pylist()
+    for n in sizes:
+        mine = []
+        # null and NaN starts come last, as in a sort
+        for k in np.argsort(when[at : at + (n or 0)], kind="stable").tolist():
+            ms = None if not abs(when[at + k]) < 1e12 else int(np.floor(when[at + k] * 1000 + 0.5))
+            mine += [{"idx": k, "start_ms": ms, "label": a, "words": w} for a, w in said[at + k]]
+        out.append(mine)
+        at += n or 0
+    return pa.array(out, _PIECES)
 
 
 def _parts(name):
@@ -190,58 +211,103 @@ def named(labels: DataFrame, speakers: DataFrame) -> DataFrame:
     return one.where(alone).select("label", F.col("best.speaker_id").alias("speaker_id"))
 
 
-def segments(spark: SparkSession, sf: str) -> DataFrame:
-    raw = table(spark, sf, "transcripts_raw").select("raw_id", F.posexplode("segments").alias("idx", "s"))
-    return raw.select("raw_id", "idx", F.col("s.start").alias("start"), F.col("s.text").alias("text"))
+def speakers_of(said: DataFrame, speakers: DataFrame, most: int = MOST_LABELS) -> tuple[DataFrame, dict[str, int] | None]:
+    """Pieces with the speakers that their labels name: in a table for all tasks, or, beyond `most`, in a map in each row."""
+    labels = said.select(F.explode(F.transform(F.filter("pieces", lambda p: p["label"].isNotNull()), lambda p: p["label"])).alias("label"))
+    who = kept(named(labels.distinct(), speakers), "labels")
+    if who.count() <= most:
+        return said, {r["label"]: r["speaker_id"] for r in who.collect()}
+    used = said.select("raw_id", F.explode(F.array_distinct(F.transform("pieces", lambda p: p["label"]))).alias("label")).join(who, "label")
+    maps = used.distinct().groupBy("raw_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "speaker_id"))).alias("who"))
+    return said.join(maps, "raw_id", "left"), None
+
+
+def _walked(said: DataFrame, who: dict[str, int] | None, schema: str, walk) -> DataFrame:
+    """Each row's pieces through `walk(pieces, who)`, a generator of the values beside raw_id."""
+    kind = said.schema["raw_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                keep, out = [], []
+                maps = part.column(2).to_pylist() if who is None else None
+                for k, mine in enumerate(part.column(1).to_pylist()):
+                    for row in walk(mine or [], who if maps is None else dict(maps[k] or ())):
+                        keep.append(k)
+                        out.append(row)
+                cols = zip(*out) if out else [[] for _ in names]
+                yield pa.record_batch([part.column(0).take(pa.array(keep, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], names=["raw_id", *names])
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[f.split()[1]] for f in schema.split(", ")]
+    return said.mapInArrow(run, f"raw_id {kind}, {schema}")
+
+
+def _starts(mine: list[dict], who: dict[str, int]) -> Iterator[tuple]:
+    last, told = None, set()
+    for p in mine:
+        speaker = who.get(p["label"])
+        if speaker is not None and speaker != last:
+            last = speaker
+            if (p["idx"], speaker) not in told:
+                told.add((p["idx"], speaker))
+                yield p["idx"], speaker
+
+
+def _turns(mine: list[dict], who: dict[str, int]) -> Iterator[tuple]:
+    speaker, turn, number = None, None, 0
+    for p in mine:
+        label, words = p["label"], p["words"]
+        named_ = who.get(label) if label is not None else None
+        if label is not None and named_ is None and not (label[0] in "[(" and _cue(label)):
+            words = (f"{label} {words}" if words else label) if label[0] in "[(" else f"{label}: {words}"
+        changed = named_ is not None and named_ != speaker
+        speaker = named_ if changed else speaker
+        if not words and speaker is None:
+            continue
+        if changed or turn is None:
+            if turn is not None:
+                yield (*turn[:4], " ".join(turn[4]))
+            number += 1
+            turn = (number, speaker, p["idx"], p["start_ms"], [])
+        if words:
+            turn[4].append(words)
+    if turn is not None:
+        yield (*turn[:4], " ".join(turn[4]))
 
-def _order() -> list:
-    """Order of pieces within a payload: segment order, then place in the caption."""
-    return [F.col("start").asc_nulls_last(), F.col("idx"), F.col("p")]
 
+def payloads(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "transcripts_raw").select("raw_id", "segments")
 
-def turn_starts(segs: DataFrame, speakers: DataFrame) -> DataFrame:
-    """(raw_id, segment_index, speaker_id) where a label names another speaker than the one before it, or is the first."""
-    said = pieces(segs, labels_only=True).select("raw_id", "idx", "start", F.posexplode("pieces").alias("p", "x")).select("raw_id", "idx", "start", "p", F.col("x.label").alias("label"))
-    who = named(said.select("label").distinct(), speakers)
-    marked = said.join(who, "label")
-    before = F.lag("speaker_id").over(W.partitionBy("raw_id").orderBy(*_order()))
-    turns = marked.withColumn("before", before).where("before is null or before <> speaker_id")
-    return turns.select("raw_id", F.col("idx").alias("segment_index"), "speaker_id").distinct()
+
+def turn_starts(payloads: DataFrame, speakers: DataFrame, most_labels: int = MOST_LABELS) -> DataFrame:
+    """(raw_id, segment_index, speaker_id) where a label names another speaker than the one before it, or is the first.
+
+    payloads: (raw_id, segments of text and start); segments are walked by start (null last), equal
+    starts by index. Null segments and null texts have no labels; a row is a payload of its own.
+    """
+    said, who = speakers_of(kept(pieces(payloads, labels_only=True).where("size(pieces) > 0"), "pieces"), speakers, most_labels)
+    return _walked(said, who, "segment_index int, speaker_id int", _starts).distinct()
 
 
-def speaker_turns(segs: DataFrame, speakers: DataFrame) -> DataFrame:
+def speaker_turns(payloads: DataFrame, speakers: DataFrame, most_labels: int = MOST_LABELS) -> DataFrame:
     """(raw_id, turn, speaker_id, first_index, start_ms, words): ordered turns with their spoken words.
 
     Words before the first label form a turn of a null speaker. A label that names nobody is spoken
     text, with its brackets if it stood in some, unless it is a stamp or sound cue. Turns without words are kept if they
-    have a speaker.
+    have a speaker. Order, nulls and repeated rows as in `turn_starts`.
     """
-    said = pieces(segs).select("raw_id", "idx", "start", F.posexplode("pieces").alias("p", "x")).select("raw_id", "idx", "start", "p", "x.label", "x.words")
-    who = named(said.where("label is not null").select("label").distinct(), speakers)
-    all_ = said.join(who, "label", "left")
-    bracketed = F.col("label").rlike(r"^[\[(]")
-    given_back = F.when(bracketed, F.concat_ws(" ", "label", F.nullif("words", F.lit("")))).otherwise(F.concat_ws(": ", "label", "words"))
-    kept = F.when(F.col("label").isNotNull() & F.col("speaker_id").isNull() & ~_cue_label(F.col("label")), given_back).otherwise(F.col("words"))
-    over = W.partitionBy("raw_id").orderBy(*_order())
-    so_far = over.rowsBetween(W.unboundedPreceding, 0)
-    now = all_.select("raw_id", "idx", "start", "p", kept.alias("words"), F.last("speaker_id", True).over(so_far).alias("speaker_id"))
-    changed = F.lag(F.struct("speaker_id")).over(over)
-    fresh = F.when(changed.isNull() | ~changed["speaker_id"].eqNullSafe(F.col("speaker_id")), 1).otherwise(0)
-    turn = F.sum("fresh").over(so_far)
-    rows = now.withColumn("fresh", fresh).withColumn("turn", turn).where("words <> '' or speaker_id is not null")
-    at = F.struct(F.coalesce("start", F.lit(float("inf"))).alias("start"), "idx", "p")
-    words = F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "words"))), lambda x: x["words"])
-    out = rows.groupBy("raw_id", "turn", "speaker_id").agg(F.min_by("idx", at).alias("first_index"), F.min_by(millis("start"), at).alias("start_ms"), F.array_join(F.filter(words, lambda w: w != ""), " ").alias("words"))
-    return out.where("words <> '' or speaker_id is not null")
+    said, who = speakers_of(kept(pieces(payloads), "pieces"), speakers, most_labels)
+    return _walked(said, who, "turn int, speaker_id int, first_index int, start_ms bigint, words string", _turns)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return turn_starts(segments(spark, sf), table(spark, sf, "speakers"))
+    return turn_starts(payloads(spark, sf), table(spark, sf, "speakers"))
 
 
 def p7_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return speaker_turns(segments(spark, sf), table(spark, sf, "speakers"))
+    return speaker_turns(payloads(spark, sf), table(spark, sf, "speakers"))
 
 
 QUERIES = {f.__name__: f for f in (p7_found, p7_turns)}
