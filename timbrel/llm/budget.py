@@ -1,201 +1,176 @@
 """Problem 2: usable tokens by source, language and topic domain, kept up to date by signed deltas.
 
 A ledger in the shared folder holds the tokens and language of every content it has met under a
-tokenizer, the units that were current at the last load, and the cube of totals. A load encodes only
-contents the ledger hasn't met, compares the units with those held, and adds what has changed to the
-cube: minus what a changed or removed unit gave, plus what it gives now.
+tokenizer, the units of the last load in buckets, and the cube of totals. A load compares the units
+with those held by (tbl, id), encodes only contents the ledger hasn't met, and adds what has changed
+to the cube: minus what a changed or removed unit gave, plus what it gives now. Only the buckets that
+a change falls into are written again; `change` reads only those. Texts are read for unseen contents
+only; everything else is ids and digests.
 
 Usable is what is told once: of a video's transcripts that look the same the first counts, of a
 chunk only the text that the chunk before it hasn't told already. The token_count and language
-columns are not used.
+columns of a row are not used for that row.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from functools import cache
 
-import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timbrel.functions.text import strip
-from timbrel.llm import codepoints as C
+from timbrel.functions.text import collapse, strip
+from timbrel.llm.languages import Languages, fitted
 from timbrel.llm.lookalike import consistent_text
 from timbrel.llm.tokenizers import DEFAULT, FOLDER, _strings, encoder, fingerprint
-from timbrel.operators.messages import _Files
-from timbrel.session import cut, shared_path, table
-
-# Common words that tell languages apart, and letters that few others use.
-COMMON_WORDS = {
-    "en": ["the", "and", "of", "to", "that", "this", "is", "for", "with", "you", "we", "our", "its", "such", "any", "every", "another", "by", "on", "in"],
-    "es": ["el", "los", "las", "una", "que", "para", "según", "entonces", "cada", "cómo", "también", "nuestra", "está", "del", "por", "primero", "después", "luego"],
-    "fr": ["les", "une", "des", "est", "pour", "dans", "notre", "cette", "alors", "ensuite", "où", "être", "après", "déjà", "chaque", "très", "même", "le"],
-    "de": ["der", "die", "das", "und", "für", "eine", "ist", "nicht", "dann", "unsere", "über", "dieser", "jede", "also", "während", "natürlich", "wird"],
-    "pt": ["os", "uma", "não", "então", "você", "para", "também", "são", "depois", "isso", "nossa", "cada", "até", "pela", "à", "é", "função", "primeiro"],
-    "vi": ["các", "này", "một", "những", "của", "là", "và", "trước", "thì", "rồi", "mỗi", "được", "không", "cho", "đầu", "ta", "sau"],
-}
-SPECIAL_LETTERS = {"es": "ñ¿¡", "fr": "èêùœ", "de": "äöüß", "pt": "ãõ", "vi": "ơưđạảấầậắếềểệịọốồổộớờợụủứừựỳ"}
-LANGUAGES = list(COMMON_WORDS)
+from timbrel.operators.store import MOST_DIRS, Store, bucket
+from timbrel.session import cut, kept, shared_path, ship, table
+
 #: A shared stretch of fewer characters between two chunks is chance.
 LEAST_OVERLAP = 12
+#: Buckets of a ledger's units.
+BUCKETS = 16
 
 
-@cache
-def _language_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of common words, the languages each is common in, and a letter's language (255 none)."""
-    owner: dict[int, int] = {}
-    for k, words in enumerate(COMMON_WORDS.values()):
-        for w in words:
-            h = C.word_hash(w)
-            owner[h] = owner.get(h, 0) | 1 << k
-    hashes = np.array(sorted(owner), np.uint64)
-    letter = np.full(C.TOP, 255, np.uint8)
-    for lang, letters in SPECIAL_LETTERS.items():
-        for c in letters + letters.upper():
-            if len(c) == 1:
-                letter[ord(c)] = LANGUAGES.index(lang)
-    return hashes, np.array([owner[int(h)] for h in hashes], np.int64), letter
-
-
-def languages(column: pa.Array) -> list[str | None]:
-    """Language of each text from its script, common words and letters; 'und' if nothing tells, null for null."""
-    hashes, owners, letter = _language_tables()
-    out: list[str | None] = []
-    for _, _, cps, rows in C.slices(column):
-        n = len(rows) - 1
-        row_of = np.repeat(np.arange(n), np.diff(rows))
-        solid = (C.classes()[cps] & C.WORD) > 0
-
-        def share(mask: np.ndarray) -> np.ndarray:
-            return np.bincount(row_of[mask], minlength=n) / np.maximum(np.bincount(row_of[solid], minlength=n), 1)
-
-        kana, han = share((cps >= 0x3040) & (cps <= 0x30FF)), share((cps >= 0x3400) & (cps <= 0x9FFF))
-        cyrillic = share((cps >= 0x400) & (cps <= 0x52F))
-        folded, at = C.form(True).apply(cps, rows)
-        row, _, _, h = C.words(folded, at)
-        i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        hit = hashes[i] == h
-        score = np.zeros((n, len(LANGUAGES)))
-        for k in range(len(LANGUAGES)):
-            own = hit & ((owners[i] >> k & 1) > 0)
-            score[:, k] = np.bincount(row[own], minlength=n)
-        special = letter[cps]
-        for k in range(len(LANGUAGES)):
-            score[:, k] += np.bincount(row_of[special == k], minlength=n)
-        best = score.argmax(1)
-        for r in range(n):
-            if kana[r] > 0.05 and kana[r] + han[r] > 0.3:
-                out.append("ja")
-            elif han[r] > 0.3:
-                out.append("zh")
-            elif cyrillic[r] > 0.4:
-                out.append("ru")
-            else:
-                out.append(LANGUAGES[best[r]] if score[r, best[r]] > 0 else "und")
-    return [x if v.as_py() else None for x, v in zip(out, column.is_valid())] if column.null_count else out
-
-
-def encoded(contents: DataFrame, name: str, folder: str) -> DataFrame:
-    """(content, text) to (content, tokens, language)."""
+def encoded(contents: DataFrame, name: str, folder: str, languages: Languages) -> DataFrame:
+    """(content, text) to (content, tokens, language, sure)."""
     path = f"{folder}/{name}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(path)
         for b in batches:
             n = pa.array([count(t or "") for t in _strings(b.column(1))], pa.int64())
-            yield pa.record_batch([b.column(0), n, pa.array(languages(b.column(1)), pa.string())], names=["content", "tokens", "language"])
+            language, sure = languages.of(b.column(1))
+            yield pa.record_batch([b.column(0), n, pa.array(language, pa.string()), pa.array(sure, pa.bool_())], names=["content", "tokens", "language", "sure"])
 
-    return contents.mapInArrow(run, "content binary, tokens bigint, language string")
+    ship(contents.sparkSession)
+    return contents.mapInArrow(run, "content binary, tokens bigint, language string, sure boolean")
 
 
 CUBE = ["tbl", "source", "language", "domain"]
+ID, WHAT, HELD = ["tbl", "id"], ["source", "domain", "content", "whole"], ["tbl", "id", "source", "domain", "content", "whole", "language", "tokens"]
 
 
 class TokenLedger:
     """Counts, units and cube of one tokenizer. A load becomes visible when its manifest is renamed into place."""
 
-    def __init__(self, spark: SparkSession, path: str, name: str = DEFAULT, folder: str = FOLDER) -> None:
-        self.spark, self.root, self.name, self.folder = spark, path.rstrip("/"), name, folder
+    def __init__(self, spark: SparkSession, path: str, languages: Languages, name: str = DEFAULT, folder: str = FOLDER, buckets: int = BUCKETS) -> None:
+        self.spark, self.languages, self.name, self.folder, self.buckets = spark, languages, name, folder, buckets
         self.tokenizer = fingerprint(name, folder)
-        self.files = _Files(spark, self.root)
+        self.store = Store(spark, path)
 
-    def _manifest(self) -> dict:
-        found = sorted(n for n in self.files.names(f"{self.root}/manifest") if n.endswith(".json"))
-        return json.loads(self.files.read(f"{self.root}/manifest/{found[-1]}")) if found else {"version": 0, "counts": []}
+    def manifest(self) -> dict:
+        return {"counts": [], "units": {}, "cube": [], "deltas": []} | self.store.manifest()
 
-    def load(self, units: DataFrame) -> DataFrame:
-        """units: (tbl, id, source, domain, content, text, whole), the whole present state. Returns the signed deltas.
+    def load(self, units: DataFrame, texts: DataFrame) -> DataFrame:
+        """units: (tbl, id, source, domain, content, whole), the whole present state; texts: (content, text). Returns the signed deltas.
 
         (tbl, id) is unique; content is a digest of the text, whole that of the text it was taken
-        from, whose language counts where its own words don't tell any. Units with null text don't
-        belong here.
+        from, whose language counts where its own words don't tell one. Every content and whole of a
+        unit has a text.
         """
-        now = self._manifest()
-        version = now["version"] + 1
-        known = self.spark.read.parquet(*now["counts"]).where(F.col("tokenizer") == self.tokenizer).select("content", "tokens", "language") if now["counts"] else None
-        fresh = units.select("content", "text")
-        if known is not None:
-            fresh = fresh.join(known, "content", "left_anti")
-        fresh = fresh.groupBy("content").agg(F.any_value("text").alias("text"))
-        counts = f"{self.root}/counts/{version:09d}"
-        encoded(fresh, self.name, self.folder).withColumn("tokenizer", F.lit(self.tokenizer)).write.parquet(counts)
-        new_counts = self.spark.read.parquet(*now["counts"], counts).where(F.col("tokenizer") == self.tokenizer)
-        here = f"{self.root}/units/{version:09d}"
-        of_whole = new_counts.select(F.col("content").alias("whole"), F.col("language").alias("whole_language"))
-        told = units.select("tbl", "id", "source", "domain", "content", "whole").join(new_counts, "content").join(of_whole, "whole", "left")
-        language = F.coalesce(F.nullif(F.col("language"), F.lit("und")), "whole_language", F.lit("und"))
-        told.select("tbl", "id", "content", "source", language.alias("language"), "domain", "tokens").write.parquet(here)
-        unit = ["tbl", "id", "content", "source", "language", "domain", "tokens"]
-        signed = self.spark.read.parquet(here).select(*unit, F.lit(1).alias("sign"))
-        if "units" in now:
-            before = self.spark.read.parquet(now["units"]).select(*unit, F.lit(-1).alias("sign"))
-            # a unit that is the same in both adds up to nothing and moves no totals
-            signed = before.unionByName(signed).groupBy(*unit).agg(F.sum("sign").alias("sign")).where("sign <> 0")
-        deltas = f"{self.root}/deltas/{version:09d}"
-        signed.groupBy(*CUBE).agg(F.sum("sign").alias("units"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens")).write.parquet(deltas)
-        delta = self.spark.read.parquet(deltas)
-        cube = f"{self.root}/cube/{version:09d}"
-        total = delta if "cube" not in now else self.spark.read.parquet(now["cube"]).unionByName(delta)
-        total.groupBy(*CUBE).agg(F.sum("units").alias("units"), F.sum("tokens").alias("tokens")).where("units <> 0").write.parquet(cube)
-        self.files.publish(f"{self.root}/manifest/{version:09d}.json", json.dumps({"version": version, "counts": [*now["counts"], counts], "units": here, "cube": cube, "deltas": deltas}))
+        held = self.store.read(self.manifest()["units"])
+        if held is None:
+            return self._apply(None, units.select(*ID, *WHAT, F.lit(1).alias("sign")), texts)
+        a, b = held.select(*ID, F.struct(*WHAT).alias("old")), units.select(*ID, F.struct(*WHAT).alias("new"))
+        # both sides are ids and digests; a unit that is the same in both goes no further
+        diff = cut(a.join(b, ID, "full").where("not old <=> new"))
+        gone = diff.where("old is not null").select(*ID, *[F.col(f"old.{c}").alias(c) for c in WHAT], F.lit(-1).alias("sign"))
+        come = diff.where("new is not null").select(*ID, *[F.col(f"new.{c}").alias(c) for c in WHAT], F.lit(1).alias("sign"))
+        return self._apply(held, gone.unionByName(come), texts)
+
+    def change(self, changed: DataFrame, removed: DataFrame, texts: DataFrame) -> DataFrame:
+        """The same for a feed of changes: new and changed units, and (tbl, id) of removed ones; only their buckets are read."""
+        ids = cut(changed.select(*ID).unionByName(removed.select(*ID)).distinct())
+        asked = [b for (b,) in ids.select(bucket(ID, self.buckets)).distinct().collect()]
+        held = self.store.read(self.manifest()["units"], asked)
+        come = changed.select(*ID, *WHAT, F.lit(1).alias("sign"))
+        if held is None:
+            return self._apply(None, come, texts)
+        gone = held.join(ids, ID, "left_semi").select(*ID, *WHAT, F.lit(-1).alias("sign"))
+        return self._apply(held, gone.unionByName(come), texts)
+
+    def _apply(self, held: DataFrame | None, moved: DataFrame, texts: DataFrame) -> DataFrame:
+        now = self.manifest()
+        version, root = now["version"] + 1, self.store.root
+        moved = cut(moved.withColumn("_bucket", bucket(ID, self.buckets)))
+        come = moved.where("sign > 0")
+        counts = [f"{root}/{d}" for d in now["counts"]]
+        wanted = come.select("content").unionByName(come.select(F.col("whole").alias("content"))).where("content is not null").distinct()
+        if counts:
+            wanted = wanted.join(self._counts(counts), "content", "left_anti")
+        fresh = texts.join(wanted, "content", "left_semi").groupBy("content").agg(F.any_value("text").alias("text"))
+        at = f"counts/{version:09d}"
+        encoded(fresh, self.name, self.folder, self.languages).withColumn("tokenizer", F.lit(self.tokenizer)).write.mode("overwrite").parquet(f"{root}/{at}")
+        dirs = [*now["counts"], at]
+        met = self._counts([*counts, f"{root}/{at}"])
+        if len(dirs) > MOST_DIRS:
+            dirs = [f"counts/{version:09d}-all"]
+            self.spark.read.parquet(*counts, f"{root}/{at}").write.mode("overwrite").parquet(f"{root}/{dirs[0]}")
+        of_whole = met.select(F.col("content").alias("whole"), F.when(F.col("language") != "und", F.col("language")).alias("whole_language"))
+        told = come.join(met, "content").join(of_whole, "whole", "left")
+        language = F.coalesce(F.when(F.col("sure"), F.col("language")), "whole_language", "language", F.lit("und"))
+        plus = told.select(*ID, *WHAT, language.alias("language"), "tokens", "_bucket", F.lit(1).alias("sign"))
+        if held is not None:
+            gone = moved.where("sign < 0").select(*ID)
+            minus = held.join(gone, ID, "left_semi").withColumn("sign", F.lit(-1))
+            plus = plus.unionByName(minus.select(*plus.columns))
+        signed = kept(plus, "signed")
+        touched = [b for (b,) in signed.select("_bucket").distinct().collect()]
+        # the buckets of the changes: what they held without what has gone, and what has come
+        old = self.store.read(now["units"], touched)
+        rest = signed.where("sign > 0").select(*HELD, "_bucket")
+        if old is not None:
+            rest = old.join(signed.where("sign < 0").select(*ID), ID, "left_anti").select(*HELD, "_bucket").unionByName(rest)
+        written = self.store.write(rest, "_bucket", "units", version)
+        units = {b: d for b, d in now["units"].items() if b not in touched} | {b: [d] for b, d in written.items()}
+        cube, deltas = f"cube/{version:09d}", f"deltas/{version:09d}"
+        signed.groupBy(*CUBE).agg(F.sum("sign").alias("units"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens")).where("units <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{root}/{deltas}")
+        delta = self.spark.read.parquet(f"{root}/{deltas}")
+        total = delta if not now["cube"] else self.cube().unionByName(delta)
+        total.groupBy(*CUBE).agg(F.sum("units").alias("units"), F.sum("tokens").alias("tokens")).where("units <> 0").write.mode("overwrite").parquet(f"{root}/{cube}")
+        self.store.publish({"version": version, "counts": dirs, "units": units, "cube": [cube], "deltas": [deltas]})
         return delta
 
+    def _counts(self, dirs: list[str]) -> DataFrame:
+        """Contents met under this tokenizer."""
+        return self.spark.read.parquet(*dirs).where(F.col("tokenizer") == self.tokenizer).drop("tokenizer")
+
     def cube(self) -> DataFrame:
-        return self.spark.read.parquet(self._manifest()["cube"])
+        return self.spark.read.parquet(f"{self.store.root}/{self.manifest()['cube'][0]}")
 
 
 def video_dimensions(videos: DataFrame, sources: DataFrame, documents: DataFrame) -> DataFrame:
     """(video, source, domain): the channel's name, and the subject that title and description name.
 
-    The subjects are the domains that documents carry. If the words name none or several, the one
-    domain that the video's documents agree on is taken, else 'unresolved'. A video without a known
-    source is 'unknown'.
+    The subjects are the domains that documents carry, of any number of words. If the text names none
+    or several, the one domain that the video's documents agree on is taken, else 'unresolved'. A
+    video without a known source is 'unknown'.
     """
     told = documents.where("topic_domain is not null and topic_domain <> 'unresolved'").select(strip("video_id").alias("video"), "topic_domain")
-    subjects = told.select("topic_domain").distinct()
+    subjects = told.select("topic_domain").distinct().select("topic_domain", _phrase("topic_domain").alias("phrase")).where("phrase <> ''")
     agreed = told.groupBy("video").agg(F.min("topic_domain").alias("lo"), F.max("topic_domain").alias("hi")).select("video", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("agreed"))
-    v = videos.select(strip("video_id").alias("video"), "source_id", F.lower(F.concat_ws(" ", "title", "description")).alias("words"))
-    words = v.select("video", F.explode(F.array_distinct(F.split("words", r"(?U)\W+"))).alias("topic_domain")).join(subjects, "topic_domain")
-    named = words.groupBy("video").agg(F.min("topic_domain").alias("lo"), F.count("*").alias("n")).where("n = 1").select("video", F.col("lo").alias("named"))
-    out = v.join(sources.select("source_id", "source_name"), "source_id", "left").join(named, "video", "left").join(agreed, "video", "left")
-    return out.select("video", F.coalesce("source_name", F.lit("unknown")).alias("source"), F.coalesce("named", "agreed", F.lit("unresolved")).alias("domain")).dropDuplicates(["video"])
+    v = videos.select(strip("video_id").alias("video"), "source_id", F.split(_phrase(F.concat_ws(" ", "title", "description")), " ").alias("words")).dropDuplicates(["video"])
+    longest = subjects.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform("words", lambda w, i: F.array_join(F.slice("words", i + 1, n), " "))))
+    words = v.select("video", F.explode(F.array_distinct(grams)).alias("phrase")).join(subjects, "phrase")
+    named = words.groupBy("video").agg(F.min("topic_domain").alias("named"), F.max("topic_domain").alias("hi")).where("named = hi").drop("hi")
+    out = v.drop("words").join(sources.select("source_id", "source_name"), "source_id", "left").join(named, "video", "left").join(agreed, "video", "left")
+    return out.select("video", F.coalesce("source_name", F.lit("unknown")).alias("source"), F.coalesce("named", "agreed", F.lit("unresolved")).alias("domain"))
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(..., text, before) to (..., text) without what the text before it ends with."""
-    for b in batches:
-        out = [t if p is None else t[shared(p, t) :] for t, p in zip(_strings(b.column(b.num_columns - 2)), _strings(b.column(b.num_columns - 1)))]
-        names = b.schema.names[:-1]
-        yield pa.record_batch([*b.columns[:-2], pa.array(out, pa.string())], names=names)
+def _phrase(c):
+    """Words in lower case with one blank between."""
+    return F.trim(F.regexp_replace(F.lower(collapse(c)), r"(?U)\W+", " "))
 
 
-def shared(before: str, text: str) -> int:
-    """Length of the longest end of `before` that begins `text`, if it is no chance."""
-    head = text[:LEAST_OVERLAP]
-    if len(head) < LEAST_OVERLAP:
+def shared(before: str, text: str, least: int = LEAST_OVERLAP) -> int:
+    """Length of the longest end of `before` that begins `text`, if it has `least` characters."""
+    head = text[:least]
+    if len(head) < least:
         return 0
     i = before.find(head, max(0, len(before) - len(text)))
     while i >= 0:
@@ -205,34 +180,92 @@ def shared(before: str, text: str) -> int:
     return 0
 
 
-def units(spark: SparkSession, sf: str) -> DataFrame:
-    """(tbl, id, source, domain, content, text, whole, loaded) of the usable texts, written once for the loads."""
-    t = table(spark, sf, "transcripts").where("raw_text is not null").select("transcript_id", strip("video_id").alias("video"), F.col("raw_text").alias("text"), "retrieved_at")
-    looks = consistent_text(t.select("transcript_id", "video", "retrieved_at", "text"), "text").select("transcript_id", "video", "retrieved_at", F.unhex(F.md5("text")).alias("look"))
-    first = cut(looks.groupBy("video", "look").agg(F.min("transcript_id").alias("transcript_id"), F.min("retrieved_at").alias("loaded")))
-    dims = video_dimensions(table(spark, sf, "videos"), table(spark, sf, "sources"), table(spark, sf, "documents"))
-    where = cut(first.join(dims, "video", "left").select("transcript_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("domain", F.lit("unresolved")).alias("domain"), "loaded"))
-    where = where.join(t.select("transcript_id", F.unhex(F.md5("text")).alias("whole")), "transcript_id")
-    whole = t.join(where, "transcript_id").select(F.lit("transcripts").alias("tbl"), F.col("transcript_id").cast("bigint").alias("id"), "source", "domain", "text", "whole", "loaded")
-    c = table(spark, sf, "chunks").where("chunk_text is not null").select("chunk_id", "transcript_id", "chunk_index", F.col("chunk_text").alias("text"))
-    before = c.select("transcript_id", (F.col("chunk_index") + 1).alias("chunk_index"), F.col("text").alias("before"))
-    # joined on transcript and place, so the live stream's many chunks are spread over all tasks
-    own = c.join(before, ["transcript_id", "chunk_index"], "left").select("chunk_id", "transcript_id", "text", "before").mapInArrow(_own, "chunk_id int, transcript_id int, text string")
-    parts = own.join(where, "transcript_id").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").cast("bigint").alias("id"), "source", "domain", "text", "whole", "loaded")
-    out = whole.unionByName(parts).withColumn("content", F.unhex(F.md5("text")))
-    path = shared_path(spark, "units")
-    out.write.parquet(path)
-    return spark.read.parquet(path)
+def own_texts(chunks: DataFrame, least: int = LEAST_OVERLAP) -> DataFrame:
+    """(chunk_id, transcript_id, chunk_index, text) to (chunk_id, transcript_id, text) without what the chunk before it, in whatever place, ends with.
+
+    Chunks are range-partitioned by transcript and place, so one with many chunks is spread over
+    tasks and each text moves once; a task's first chunk meets the last one of the task before it in
+    a second step, over two rows a task. Null texts are left out and end no neighbourhood.
+    """
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["transcript_id", "chunk_index", "chunk_id"]
+    spread = chunks.where("text is not null").select("chunk_id", "transcript_id", "chunk_index", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "transcript_id")}
+    schema = f"chunk_id {kinds['chunk_id']}, transcript_id {kinds['transcript_id']}, text string, part int, edge string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last = None  # (chunk, transcript, text)
+        for b in batches:
+            ids, owners, out, edge = b.column(0).to_pylist(), b.column(1).to_pylist(), [], []
+            for i, o, t in zip(ids, owners, _strings(b.column(3))):
+                out.append(t[shared(last[2], t, least) :] if last is not None and last[1] == o else t)
+                edge.append("first" if last is None else None)
+                last = (i, o, t)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([part] * len(out), pa.int32()), pa.array(edge, pa.string())], names=["chunk_id", "transcript_id", "text", "part", "edge"])
+        if last is not None:
+            yield pa.record_batch([pa.array([last[0]], b.schema.field(0).type), pa.array([last[1]], b.schema.field(1).type), pa.array([last[2]], pa.string()), pa.array([part], pa.int32()), pa.array(["last"])], names=["chunk_id", "transcript_id", "text", "part", "edge"])
+
+    ship(chunks.sparkSession)
+    got = kept(spread.mapInArrow(run, schema), "own")
+    w = W.partitionBy().orderBy("part", "edge")  # two rows a task
+    edges = got.where("edge is not null").withColumn("before", F.lag(F.struct("transcript_id", "text")).over(w)).where("edge = 'first'")
+    # a first chunk of another transcript keeps its text
+    pairs = edges.select("chunk_id", "transcript_id", F.when(F.col("before.transcript_id") == F.col("transcript_id"), F.col("before.text")).alias("before"), "text")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [t if p is None else t[shared(p, t, least) :] for p, t in zip(_strings(b.column(2)), _strings(b.column(3)))]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string())], names=["chunk_id", "transcript_id", "text"])
+
+    fixed = pairs.mapInArrow(meet, ", ".join(schema.split(", ")[:3]))
+    return got.where("edge is null").select("chunk_id", "transcript_id", "text").unionByName(fixed)
+
+
+class Corpus:
+    """The tables of a data folder, texts read once, and the units they make at any time."""
+
+    def __init__(self, spark: SparkSession, sf: str) -> None:
+        t = table(spark, sf, "transcripts").select("transcript_id", strip("video_id").alias("video"), "raw_text", "language", "retrieved_at")
+        self.tables = {n: table(spark, sf, n) for n in ("videos", "sources", "documents")}
+        self.languages = fitted(t.select(F.col("raw_text").alias("text"), F.col("language").alias("label")))
+        looks = consistent_text(t.select("transcript_id", "video", "retrieved_at", F.col("raw_text").alias("whole"), "raw_text"), "raw_text")
+        digest = lambda c: F.unhex(F.md5(c))
+        #: a transcript without text has a look of its own: it owns its chunks
+        self.transcripts = cut(looks.select("transcript_id", "video", "retrieved_at", F.coalesce(digest("raw_text"), F.col("transcript_id").cast("string").cast("binary")).alias("look"), digest("whole").alias("whole")))
+        whole = t.where("raw_text is not null").select(F.lit("transcripts").alias("tbl"), F.col("transcript_id").cast("bigint").alias("id"), "transcript_id", F.col("raw_text").alias("text"))
+        own = own_texts(table(spark, sf, "chunks").select("chunk_id", "transcript_id", "chunk_index", F.col("chunk_text").alias("text")))
+        parts = own.select(F.lit("chunks").alias("tbl"), F.col("chunk_id").cast("bigint").alias("id"), "transcript_id", "text")
+        self.pieces = kept(whole.unionByName(parts).withColumn("content", digest("text")), "pieces")
+        self.texts = self.pieces.select("content", "text")
+
+    def middle(self):
+        """The middle of the time in which transcripts were retrieved; None if there is no time."""
+        lo, hi = self.transcripts.agg(F.min("retrieved_at"), F.max("retrieved_at")).first()
+        return lo + (hi - lo) / 2 if lo is not None and lo < hi else None
+
+    def units(self, at=None) -> DataFrame:
+        """(tbl, id, source, domain, content, whole) of the usable texts, as known at a time: later transcripts, videos and documents aren't there yet."""
+        until = lambda df, c: df if at is None else df.where(F.col(c) <= F.lit(at))
+        t = until(self.transcripts, "retrieved_at")
+        first = t.groupBy("video", "look").agg(F.min("transcript_id").alias("transcript_id"))
+        dims = video_dimensions(until(self.tables["videos"], "ingested_at"), self.tables["sources"], until(self.tables["documents"], "ingested_at"))
+        where = first.join(dims, "video", "left").join(t.select("transcript_id", "whole"), "transcript_id")
+        where = where.select("transcript_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("domain", F.lit("unresolved")).alias("domain"), "whole")
+        return self.pieces.select("tbl", "id", "transcript_id", "content").join(where, "transcript_id").select(*ID, *WHAT)
 
 
 def _loaded(spark: SparkSession, sf: str) -> tuple[TokenLedger, DataFrame]:
-    """A ledger after two loads: what had been retrieved by the middle of the time, then everything."""
-    u = units(spark, sf)
-    lo, hi = u.agg(F.min("loaded"), F.max("loaded")).first()
-    ledger = TokenLedger(spark, shared_path(spark, "tokens"))
-    if lo is not None and lo < hi:
-        ledger.load(u.where(F.col("loaded") <= F.lit(lo + (hi - lo) / 2)).drop("loaded"))
-    return ledger, ledger.load(u.drop("loaded"))
+    """A ledger after two loads: the state in the middle of the time, then everything.
+
+    Between them transcripts come, and those change or go whose video, domain or first copy became known later.
+    """
+    corpus = Corpus(spark, sf)
+    ledger = TokenLedger(spark, shared_path(spark, "tokens"), corpus.languages)
+    middle = corpus.middle()
+    if middle is not None:
+        ledger.load(corpus.units(middle), corpus.texts)
+    return ledger, ledger.load(corpus.units(), corpus.texts)
 
 
 def p2_token_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,7 +273,7 @@ def p2_token_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    """What the second load changed, with its sign."""
+    """What the second load changed, with its sign: new, changed and removed units."""
     return _loaded(spark, sf)[1]
 
 
