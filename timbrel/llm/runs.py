@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from timbrel.functions.text import millis
 from timbrel.llm import codepoints as C
-from timbrel.session import cut, ship, table
+from timbrel.session import cut, kept, ship, table
 
 #: Buckets of the hashed letter pairs that rule out most neighbours before the exact comparison.
 DIMS = 128
@@ -225,8 +225,9 @@ def collapse_runs(events: DataFrame, least: int = 1, max_gap_ms: int | None = No
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("start").asc_nulls_last(), F.col("idx")]
     base = events.select("entity", "idx", "start", millis("start").alias("start_ms"), millis("dur").alias("dur_ms"), "text")
-    spread = keyed(base, similarity < 1).where("key is not null").repartitionByRange(n, F.col("entity"), *order).sortWithinPartitions("entity", *order)
-    walked = cut(spread)
+    # written first: finding the ranges reads the events once more
+    said = kept(keyed(base, similarity < 1).where("key is not null"), "events")
+    walked = cut(said.repartitionByRange(n, F.col("entity"), *order).sortWithinPartitions("entity", *order))
     schema = T.StructType([events.schema["entity"], *(T.StructField(a, b) for a, b in _OUT)])
     arrow = to_arrow_schema(schema)
 
