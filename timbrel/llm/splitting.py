@@ -1,11 +1,11 @@
 """Problem 1: oversized texts cut into pieces under a token limit where the talk pauses.
 
-Texts within the limit never leave the JVM. For the others a batch's tokens and possible cuts come
-from code-point arrays. Lexical cohesion is measured at every possible cut: the cosine of the word
-counts in the blocks of tokens before and after it; a valley of that curve marks a change of topic.
-Each piece ends at the deepest valley among the best kind of pause within its window (end of a
-sentence, end of a line, a comma, a blank, any token), and the next begins `overlap` tokens before
-that cut.
+A batch's tokens and possible cuts come from code-point arrays. Lexical cohesion is measured at every
+possible cut: the cosine of the word counts in the blocks of tokens before and after it, words that
+are common in the text counting less; a valley of that curve marks a change of topic. Each piece
+ends at the deepest valley within its window, where a cut at a pause counts as deeper by a bounded
+amount (the end of a sentence most, then of a line, then of a clause); a cut inside a run of letters
+is taken only if the window has no other. The next piece begins `overlap` tokens before the cut.
 """
 
 from __future__ import annotations
@@ -21,15 +21,15 @@ from pyspark.sql import types as T
 
 from timbrel.functions.naming import spared
 from timbrel.llm import codepoints as C
-from timbrel.session import table
-
-LIMIT, OVERLAP, BLOCK = 240, 48, 20
-#: How many possible cuts away the heights beside a valley are looked for.
-REACH = 60
-#: Dimensions of the hashed word counts that blocks are compared by.
-DIMS = 64
-#: A token is one character of the kana and Han blocks, a run of other letters, digits and underscores, or any other character that isn't white space.
-TOKEN = r"[぀-ヿ㐀-鿿]|[\p{L}\p{Nd}_&&[^぀-ヿ㐀-鿿]]+|[^\s\p{Z}\x{1c}-\x{1f}\x{85}]"
+from timbrel.session import ship, table
+
+LIMIT, OVERLAP, BLOCK = 240, 48, 60
+#: How many tokens away the heights beside a valley are looked for.
+REACH = 120
+#: Tokens whose cohesion is measured at a time; bounds the memory of very long texts.
+STRIP = 8192
+#: How much deeper a valley counts at a word, clause, line and sentence end; depths lie between 0 and 2.
+PAUSE = (0.0, 0.4, 0.75, 1.0)
 # What ends a sentence, a clause, and what may close after an end.
 ENDS, CLAUSES, CLOSERS = ".!?…。？！", ",;:、，；：—–", "\"'”’)]»」』"
 
@@ -50,13 +50,14 @@ def _kinds() -> np.ndarray:
     return out
 
 
-def tokens(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the tokens of one text."""
+def tokens(cps: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the tokens: one character of the kana and Han blocks, a run of other letters, digits and underscores, or any other character that isn't white space; none crosses a row offset."""
     kind = _kinds()[cps]
-    before = np.concatenate([[0], kind[:-1]])
-    start = np.flatnonzero((kind == 2) | (kind == 1) & (before != 1))
-    after = np.concatenate([kind[1:], [0]])
-    end = np.flatnonzero((kind == 2) | (kind == 1) & (after != 1)) + 1
+    edge = np.zeros(len(cps) + 1, bool)
+    edge[[0, -1] if rows is None else rows] = True
+    before, after = np.concatenate([[0], kind[:-1]]), np.concatenate([kind[1:], [0]])
+    start = np.flatnonzero((kind == 2) | (kind == 1) & ((before != 1) | edge[:-1]))
+    end = np.flatnonzero((kind == 2) | (kind == 1) & ((after != 1) | edge[1:])) + 1
     return start, end
 
 
@@ -81,19 +82,51 @@ def pauses(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def depths(cps: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Depth of the cohesion valley at each possible cut (token places `at`, ascending)."""
+def depths(cps: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Depth of the cohesion valley before each token: how far the greatest heights within REACH on both sides are above it.
+
+    The cosine of two blocks is a sum over pairs of equal words; pairs at one distance are counted for
+    all places at once by a running sum, so words are compared exactly.
+    """
     n = len(start)
     folded, rows = C.form(True).apply(cps, np.concatenate([np.stack([start, end], 1).ravel(), [len(cps)]]))
     h = C.span_hashes(C.mix(folded), rows[0:-1:2], rows[1::2])
-    counts = np.zeros((n + 1, DIMS), np.int32)
-    counts[np.arange(1, n + 1), (h % np.uint64(DIMS)).astype(np.int64)] = 1
-    counts = np.cumsum(counts, axis=0)
-    left = counts[at] - counts[np.maximum(at - block, 0)]
-    right = counts[np.minimum(at + block, n)] - counts[at]
-    norm = np.sqrt((left.astype(np.float64) ** 2).sum(1) * (right.astype(np.float64) ** 2).sum(1))
-    score = (left * right).sum(1) / np.maximum(norm, 1e-9)
-    return _peak(score) + _peak(score[::-1])[::-1] - 2 * score
+    _, word, uses = np.unique(h, return_inverse=True, return_counts=True)
+    letter = (C.classes()[cps[start]] & C.WORD) > 0
+    # words that fill the text say little about its topics, signs nothing
+    square = np.where(letter, np.log(n / uses[word]) ** 2, 0.0)
+    out = np.zeros(n, np.float32)
+    margin = REACH + block
+    for a in range(0, n, STRIP):
+        lo, hi = max(0, a - margin), min(n, a + STRIP + margin)
+        score = _cosines(word[lo:hi], square[lo:hi], block)
+        deep = _peak(score) + _peak(score[::-1])[::-1] - 2 * score
+        out[a : a + STRIP] = deep[a - lo : min(n, a + STRIP) - lo]
+    return out
+
+
+def _cosines(word: np.ndarray, square: np.ndarray, block: int) -> np.ndarray:
+    """Cosine of the words in the blocks before and from each place."""
+    n = len(word)
+    place = np.arange(n)
+    dot, inner = np.zeros(n), np.concatenate([[0.0], np.cumsum(square)])
+    size = inner[np.minimum(place + block, n)] - inner[place]  # of the block from each place
+    for d in range(1, min(2 * block, n)):
+        same = np.where(word[d:] == word[:-d], square[:-d], 0.0)
+        run = np.concatenate([[0.0], np.cumsum(same)])
+        last = len(same)
+        if d < block:
+            size += 2 * (run[np.clip(place + block - d, 0, last)] - run[np.minimum(place, last)])
+        # pairs (i, i + d) with i in the block before and i + d in the block from the place
+        first, stop = np.maximum(place - min(d, block), 0), place + min(0, block - d)
+        dot += np.where(stop > first, run[np.clip(stop, 0, last)] - run[np.minimum(first, last)], 0.0)
+    before = size[np.maximum(place - block, 0)]
+    short = place < block  # the block before is cut off by the beginning
+    if short.any():
+        for p in place[short].tolist():
+            w, s = word[:p], square[:p]
+            before[p] = ((w[:, None] == w[None, :]) * s).sum() if p else 0.0
+    return dot / np.sqrt(np.maximum(before * size, 1e-12))
 
 
 def _peak(score: np.ndarray) -> np.ndarray:
@@ -102,17 +135,14 @@ def _peak(score: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, REACH + 1).max(1)
 
 
-def cut_places(cps: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+def cut_places(cps: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, pause: tuple[float, ...] = PAUSE) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """Token spans of a text and its pieces (first token, first own token, end token)."""
     start, end = tokens(cps)
     n = len(start)
     if n <= limit:
         return start, end, [(0, 0, n)]
     kind = pauses(cps, start, end)
-    at = np.flatnonzero(kind > 0)
-    depth = np.zeros(n)
-    if len(at):
-        depth[at] = depths(cps, start, end, at)
+    worth = depths(cps, start, end) + np.array([-10.0, *pause])[kind]
     pieces, own = [], 0
     while True:
         first = max(0, own - overlap)
@@ -120,11 +150,9 @@ def cut_places(cps: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> t
             pieces.append((first, own, n))
             return start, end, pieces
         lo, hi = max(own + 1, first + limit // 2), first + limit
-        window = np.arange(lo, hi + 1)
-        best = kind[window].max()
-        window = window[kind[window] == best] if best else window[-1:]
-        # deepest valley; of equals the last, so that pieces are no shorter than they must be
-        cut = int(window[len(window) - 1 - np.argmax(depth[window][::-1])])
+        # of equals the last, so that pieces are no shorter than they must be
+        window = worth[lo : hi + 1]
+        cut = hi - int(np.argmax(window[::-1]))
         pieces.append((first, own, cut))
         own = cut
 
@@ -137,19 +165,28 @@ _SCHEMA = pa.struct([("piece_index", pa.int32()), ("piece_text", pa.string()), (
 def _split(batches: Iterator[pa.RecordBatch], at: int, limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, j, cps, rows in C.slices(b.column(at)):
-            keep, out = [], []
-            for k in range(j - i):
+            starts, _ = tokens(cps, rows)
+            count = np.diff(np.searchsorted(starts, rows))
+            large = np.flatnonzero(count > limit)
+            owner, out = [], []
+            for k in large.tolist():
                 text = cps[rows[k] : rows[k + 1]]
                 start, end, pieces = cut_places(text, limit, overlap)
-                n = max(1, len(start))
+                total = len(start)
                 for p, (first, own, stop) in enumerate(pieces):
                     a = int(start[first]) if first else 0
-                    z = int(start[stop]) if stop < len(start) else len(text)
-                    keep.append(i + k)
-                    out.append({"piece_index": p, "piece_text": text[a:z].tobytes().decode("utf-32-le"), "token_count": stop - first, "char_start": a, "char_end": z, "overlap_tokens": own - first, "share_from": first / n, "share_to": stop / n})
-            fields = pa.array(out, _SCHEMA)
-            rest = b.remove_column(at).take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([*rest.columns, *fields.flatten()], names=[*rest.schema.names, *(f.name for f in _SCHEMA)])
+                    z = int(start[stop]) if stop < total else len(text)
+                    owner.append(i + k)
+                    out.append({"piece_index": p, "piece_text": text[a:z].tobytes().decode("utf-32-le"), "token_count": stop - first, "char_start": a, "char_end": z, "overlap_tokens": own - first, "share_from": first / total, "share_to": stop / total})
+            rest, names = b.remove_column(at), [*(x for k, x in enumerate(b.schema.names) if k != at), *(f.name for f in _SCHEMA)]
+            # texts within the limit stay as they are
+            keep = np.flatnonzero(count <= limit)
+            if len(keep):
+                m, take = len(keep), pa.array(keep + i)
+                same = {"piece_index": np.zeros(m, np.int32), "piece_text": b.column(at).take(take).cast(pa.string()), "token_count": count[keep].astype(np.int32), "char_start": np.zeros(m, np.int32), "char_end": np.diff(rows)[keep].astype(np.int32), "overlap_tokens": np.zeros(m, np.int32), "share_from": np.zeros(m), "share_to": np.ones(m)}
+                yield pa.record_batch([*rest.take(take).columns, *(c if isinstance(c, pa.Array) else pa.array(c) for c in same.values())], names=names)
+            if out:
+                yield pa.record_batch([*rest.take(pa.array(owner, pa.int64())).columns, *pa.array(out, _SCHEMA).flatten()], names=names)
 
 
 def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int = OVERLAP, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -166,14 +203,11 @@ def split_oversized(df: DataFrame, text: str, limit: int = LIMIT, overlap: int =
     if limit <= 2 * overlap or overlap < 0:
         raise ValueError("limit must exceed twice the overlap")
     df = spared(df, set(ADDED) - {text, start, end})
-    counted = df.withColumn("token_count", F.coalesce(F.regexp_count(F.col(text), F.lit("(?U)" + TOKEN)), F.lit(0)))
     others = [c for c in df.columns if c != text]
-    whole = counted.where(F.col("token_count") <= limit).select(*others, F.lit(0).alias("piece_index"), F.col(text).alias("piece_text"), "token_count", F.lit(0).alias("char_start"), F.coalesce(F.length(text), F.lit(0)).alias("char_end"), F.lit(0).alias("overlap_tokens"), F.lit(0.0).alias("share_from"), F.lit(1.0).alias("share_to"))
-    large = counted.where(F.col("token_count") > limit).select(*others, text)
     at = len(others)
-    schema = T.StructType([*(f for f in large.schema if f.name != text), *_FIELDS])
-    cut = large.mapInArrow(lambda it: _split(it, at, limit, overlap), schema)
-    out = whole.unionByName(cut)
+    schema = T.StructType([*(f for f in df.schema if f.name != text), *_FIELDS])
+    ship(df.sparkSession)
+    out = df.select(*others, text).mapInArrow(lambda it: _split(it, at, limit, overlap), schema)
     if start and end:
         lo, hi = F.least(start, end), F.greatest(start, end)
         known = F.col(start).isNotNull() & F.col(end).isNotNull()
