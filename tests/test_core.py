@@ -282,6 +282,36 @@ def test_choose_ranges():
     assert chunking.choose_ranges(prefix, windows, [0.5] * 5, c) == [(0, 1), (2, 3), (4, 5)]
     assert chunking.choose_ranges([0, 20], [(0, 0)], [], c) == [(0, 0)]
     assert chunking.choose_ranges([0, 1, 2], [(0, 0), (1, 1)], [0.2], c) == [(0, 0), (1, 1)]
+    assert chunking.choose_ranges([0], [], [], c) == []
+
+
+def test_choose_ranges_against_every_end():
+    """Each range must be the best of all ends by (above preferred, awkward rest, likeness, place)."""
+    rnd = random.Random(9)
+    for _ in range(300):
+        sizes = [rnd.choice([1, 2, 3, 4, 9]) for _ in range(rnd.randrange(1, 15))]
+        prefix = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+        windows, i = [], 0
+        while i < len(sizes):
+            j = min(len(sizes), i + rnd.randrange(1, 4))
+            windows.append((i, j - 1))
+            i = j
+        scores = [rnd.choice([0.1, 0.2, 0.3]) for _ in windows[1:]]
+        c = chunking.Config("t", rnd.choice([3, 5]), 7, 10)
+        got, w = chunking.choose_ranges(prefix, windows, scores, c), 0
+        for s, e in got:
+            assert s == windows[w][0]
+            best = None
+            for k in range(w, len(windows)):
+                size = prefix[windows[k][1] + 1] - prefix[s]
+                rest = prefix[-1] - prefix[windows[k][1] + 1]
+                if size >= c.minimum and (size <= c.maximum or k == w):
+                    rank = (size > c.preferred, 0 < rest < c.minimum, [*scores, 1.0][k], k)
+                    best = min(best, rank) if best else rank
+            end = best[3] if best else w
+            assert e == windows[end][1]
+            w = end + 1
+        assert w == len(windows)
 
 
 # --- contracts
@@ -332,7 +362,9 @@ def test_tabular(spark, tmp_path):
     df = spark.createDataFrame([(2, "y"), (1, "x")], "n int, t string")
     r = str(tmp_path / "r.csv")
     assert tabular.write_report(df, r, ["n"]) and not tabular.write_report(df, r, ["n"])
-    assert open(r, "rb").read() == b"\xef\xbb\xbfn,t\r\n1,x\r\n2,y\r\n" and not os.path.exists(r + ".tmp")
+    assert open(r, "rb").read() == b"\xef\xbb\xbfn,t\r\n1,x\r\n2,y\r\n" and [f for f in os.listdir(tmp_path) if f.startswith("r.csv")] == ["r.csv"]
+    odd = spark.createDataFrame([(1, 'a "b", c'), (2, None)], ["n", "t,u"])
+    assert tabular.write_report(odd, r, ["n"]) and open(r, "rb").read() == '\ufeffn,"t,u"\r\n1,"a ""b"", c"\r\n2,\r\n'.encode()
     with pytest.raises(ValueError):
         tabular.write_report(df, r, ["n"], most=1)
     snap = str(tmp_path / "snap")

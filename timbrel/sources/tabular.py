@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,33 +36,43 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
 
 
-def publish(path: str, content: bytes) -> bool:
-    """Replace a small local file as a whole; not written if it is the same already. Returns whether it was."""
-    if os.path.exists(path):
-        with open(path, "rb") as f:
-            if f.read() == content:
-                return False
-    tmp = path + ".tmp"
-    try:
-        with open(tmp, "wb") as f:
-            f.write(content)
-        os.replace(tmp, path)
-    finally:
-        if os.path.exists(tmp):
-            os.unlink(tmp)
-    return True
-
-
 def write_report(df: DataFrame, path: str, order: list[str], most: int = 10_000) -> bool:
-    """A small report as one CSV file with byte-order mark and CRLF; refused above `most` rows."""
-    rows = df.orderBy(*order).limit(most + 1).collect()
-    if len(rows) > most:
+    """A small report as one CSV file with byte-order mark and CRLF on the shared file system; refused above `most` rows.
+
+    Returns whether it differed from the file that was there. The text is made by Spark in one task
+    of at most `most` rows, and the finished file is moved into place by the file system.
+    """
+    spark = df.sparkSession
+    ordered = df.orderBy(*order).limit(most + 1)
+    quoted = [F.when(F.col(c).cast("string").rlike('[",\r\n]'), F.concat(F.lit('"'), F.regexp_replace(F.col(c).cast("string"), '"', '""'), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns]
+    lines = [r[0] for r in ordered.select(F.concat_ws(",", *quoted)).collect()]
+    if len(lines) > most:
         raise ValueError(f"a report has at most {most} rows")
-    out = io.StringIO(newline="")
-    writer = csv.writer(out)
-    writer.writerow(df.columns)
-    writer.writerows(rows)
-    return publish(path, out.getvalue().encode("utf-8-sig"))
+    head = ",".join(f'"{c.replace(chr(34), 2 * chr(34))}"' if set(c) & set('",\r\n') else c for c in df.columns)
+    content = "\ufeff" + "".join(f"{x}\r\n" for x in [head, *lines])
+    return replace_file(spark, path, content.encode())
+
+
+def replace_file(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Make `content` the whole of a small file of any Hadoop file system; False if it is so already.
+
+    The new file is closed under a name of its own before one rename puts it in the old one's place.
+    """
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    if context.util().exists(target) and bytes(context.open(target).readAllBytes()) == content:
+        return False
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = fresh.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(fresh)
+    stream.write(bytearray(content))
+    stream.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fresh, target, options)
+    return True
 
 
 def require_snapshot(df: DataFrame, path: str) -> bool:
