@@ -2,13 +2,14 @@
 
 Documents and passages become sequences of word hashes: consistent form, folded case, without
 punctuation, stamps, sound cues and fillers. Karp-Rabin hashes of every window of `seed` words are
-joined with those of the passages; only documents with a common seed go on, and only with the
-passages they share it with. There the longest common stretches are marked again and again, longest
-first and without overlap (tiles), and the share of the passage that tiles cover is reported, so
-that reordered passages count too.
+joined with those of the passages; which documents share a seed with which passages is settled on ids
+and hashes alone, and only those documents' words meet those passages. There the longest common
+stretches are marked again and again, longest first and without overlap (tiles), and the share of the
+passage that tiles cover is reported, so that reordered passages count too.
 
 The passages' seeds are sent to all tasks only if their number is checked to be small (MOST_SEEDS);
-beyond it the windows of all documents are joined with them by a shuffle.
+beyond it a bitmap of fixed size sieves the windows, and those left are joined with the seeds by a
+shuffle.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timbrel.llm import codepoints as C
-from timbrel.session import cut, table
+from timbrel.session import cut, kept, ship, table
 
 SEED = 12
 #: 8 bytes each: 16 MB at most go to a task.
 MOST_SEEDS = 2_000_000
-#: A bracketed remark of at most so many words and characters that has one of the cue words is a sound cue.
-CUE_WORDS_IN, CUE_CHARS = 4, 60
+#: A bracketed remark of at most so many characters that has one of the cue words is a sound cue; in round brackets and tags only if it has no more than so many words.
+CUE_WORDS_IN, CUE_CHARS = 4, 160
+#: Bits of the bitmap that sieves windows; its set bits, at most so many, pass through the driver.
+SIEVE_BITS = 24
 # Words of sound cues, and fillers.
 CUES = ["laughter", "laughs", "laughing", "laugh", "applause", "applauding", "clapping", "music", "inaudible", "unintelligible", "crosstalk", "conversation", "chatter", "silence", "noise", "cough", "coughs", "coughing", "sighs", "cheering", "cheers", "background", "pause", "whispering"]
 FILLERS = ["um", "uh", "er"]
@@ -80,7 +83,7 @@ def spoken_words(cps: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
         same = (c - o <= CUE_CHARS) & (np.searchsorted(rows, o, "right") == np.searchsorted(rows, c, "right"))
         o, c = o[same], c[same]
         a, b = np.searchsorted(start, o), np.searchsorted(start, c)
-        few = (b > a) & (b - a <= CUE_WORDS_IN)
+        few = (b > a) & ((b - a <= CUE_WORDS_IN) | (opening == "["))
         if not tag:
             few &= n_cue[b] > n_cue[a]
         for i, j in zip(a[few], b[few]):
@@ -149,81 +152,83 @@ def seeds_of(sequences: DataFrame, seed: int) -> DataFrame:
     return sequences.mapInArrow(run, f"item {kind}, passage string, seed bigint").distinct()
 
 
-def seeded_documents(documents: DataFrame, seed: int, wanted: np.ndarray | None) -> DataFrame:
-    """(doc_id, words, seeds): documents with the window hashes they have among `wanted` (all of them if None)."""
-    sieve = None
-    if wanted is not None:
-        sieve = np.zeros(1 << 22, bool)
-        sieve[wanted >> np.uint64(42)] = True
-        sieve = np.packbits(sieve)
+def seeded_documents(documents: DataFrame, seed: int, sieve: np.ndarray, wanted: np.ndarray | None, words: bool) -> DataFrame:
+    """(doc_id, seeds), and words if asked for: documents with the window hashes they have among `wanted`, or that pass the sieve if None."""
+    packed, shift = np.packbits(sieve), np.uint64(64 - (len(sieve).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quick = None if sieve is None else np.unpackbits(sieve).view(bool)
+        quick = np.unpackbits(packed).view(bool)
         for b in batches:
             for i, j, cps, rows in C.slices(b.column(1)):
                 cps, rows = C.form(True).apply(cps, rows)
                 row, h = spoken_words(cps, rows)
                 at, win = windows(row, h, seed)
-                if quick is not None:
-                    maybe = quick[win >> np.uint64(42)]
-                    at, win = at[maybe], win[maybe]
+                maybe = quick[win >> shift]
+                at, win = at[maybe], win[maybe]
+                if wanted is not None:
                     sure = _in(win, wanted)
                     at, win = at[sure], win[sure]
                 if not len(at):
                     continue
-                hit = np.unique(row[at])
-                n = len(rows) - 1
-                words, seeds = _lists(row, h, n), _lists(row[at], win, n)
-                take = pa.array(hit)
-                yield pa.record_batch([b.column(0).slice(i, j - i).take(take), words.take(take), seeds.take(take)], names=["doc_id", "words", "seeds"])
+                take, n = pa.array(np.unique(row[at])), len(rows) - 1
+                cols = [b.column(0).slice(i, j - i).take(take), _lists(row[at], win, n).take(take)]
+                yield pa.record_batch([*cols, _lists(row, h, n).take(take)] if words else cols, names=["doc_id", "seeds", "words"][: 2 + words])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.mapInArrow(run, f"doc_id {kind}, words array<bigint>, seeds array<bigint>")
+    return documents.mapInArrow(run, f"doc_id {kind}, seeds array<bigint>" + (", words array<bigint>" if words else ""))
 
 
 def tile(text: np.ndarray, pattern: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (text place, pattern place, length) of the longest common stretches.
 
     Longest first, ties by place, none overlapping another on either side, none shorter than `least`.
-    Candidates are found by equal Karp-Rabin hashes of `least` words and grown word by word; a
-    candidate that an earlier tile has cut is trimmed and takes its turn again.
+    The greatest length at which unmarked stretches of both share a Karp-Rabin hash is found by
+    halving (what shares a stretch shares its parts), all tiles of that length are marked, and the
+    search goes on from there with what is left. So repetitive texts cost no more than others.
     """
-    if len(text) < least or len(pattern) < least:
-        return []
-    zero = np.zeros(len(text), np.int64), np.zeros(len(pattern), np.int64)
-    (ta, th), (pa_, ph) = windows(zero[0], text, least), windows(zero[1], pattern, least)
-    order = np.argsort(ph, kind="stable")
-    lo, hi = np.searchsorted(ph[order], th, "left"), np.searchsorted(ph[order], th, "right")
-    found: dict[tuple[int, int], int] = {}
-    for i in np.flatnonzero(hi > lo).tolist():
-        for j in order[lo[i] : hi[i]].tolist():
-            a, p = int(ta[i]), int(pa_[j])
-            if (a - 1, p - 1) in found and found[a - 1, p - 1] > least:
-                found[a, p] = found[a - 1, p - 1] - 1
+    free_t, free_p = np.ones(len(text), bool), np.ones(len(pattern), bool)
+    longest, tiles = min(len(text), len(pattern)), []
+
+    def unmarked(values: np.ndarray, free: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        blocked = np.concatenate([[0], np.cumsum(~free)])
+        at = np.flatnonzero(blocked[width:] == blocked[:-width])
+        return at, C.span_hashes(values, at, at + width)
+
+    while longest >= least:
+        lo, hi, found = least, longest, None
+        while lo <= hi:
+            width = hi if found is None and hi == longest else (lo + hi + 1) // 2
+            (ta, th), (pa_, ph) = unmarked(text, free_t, width), unmarked(pattern, free_p, width)
+            common = np.isin(th, ph)
+            if common.any():
+                found, lo = (width, ta[common], th[common], pa_, ph), width + 1
+            else:
+                hi = width - 1
+        if found is None:
+            return tiles
+        longest, ta, th, pa_, ph = found
+        order = np.argsort(ph, kind="stable")
+        ph, pa_ = ph[order], pa_[order]
+        next_of: dict[int, int] = {}
+        done = -1
+        marked = False
+        for a, h, first, stop in zip(ta.tolist(), th.tolist(), np.searchsorted(ph, th, "left").tolist(), np.searchsorted(ph, th, "right").tolist()):
+            if a < done:
                 continue
-            n = 0
-            while a + n < len(text) and p + n < len(pattern) and text[a + n] == pattern[p + n]:
-                n += 1
-            if n >= least:
-                found[a, p] = n
-    used_t, used_p = np.zeros(len(text), bool), np.zeros(len(pattern), bool)
-    tiles = []
-    import heapq
-
-    heap = [(-n, a, p) for (a, p), n in found.items() if (a - 1, p - 1) not in found]
-    heapq.heapify(heap)
-    while heap:
-        n, a, p = heapq.heappop(heap)
-        n = -n
-        taken = used_t[a : a + n] | used_p[p : p + n]
-        if not taken.any():
-            tiles.append((a, p, n))
-            used_t[a : a + n] = used_p[p : p + n] = True
-            continue
-        free = np.flatnonzero(np.diff(taken.astype(np.int8), prepend=1, append=1))
-        for x, y in zip(free[::2].tolist(), free[1::2].tolist()):
-            if y - x >= least:
-                heapq.heappush(heap, (-(y - x), a + x, p + x))
+            k = next_of.get(h, first)
+            # places of one hash ascend, and one that is taken stays so
+            while k < stop and not (free_p[pa_[k]] and free_p[pa_[k] : pa_[k] + longest].all()):
+                k += 1
+            next_of[h] = k
+            if k < stop:
+                p = int(pa_[k])
+                if not np.array_equal(text[a : a + longest], pattern[p : p + longest]):
+                    continue
+                tiles.append((a, p, longest))
+                free_t[a : a + longest] = free_p[p : p + longest] = False
+                done, marked = a + longest, True
+        # what is left of this length may lie between the tiles of it
+        longest -= not marked
     return tiles
 
 
@@ -231,43 +236,57 @@ _TILED = "doc_id {d}, item {i}, passage string, tiles int, longest int, covered
 
 
 def tiled(pairs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, item, passage, words, pattern) to the tiling of each pair."""
+    """(doc_id, words, passages of item, passage and pattern) to the tiling of each pair."""
+    item = pairs.schema["passages"].dataType.elementType["item"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for w, p in zip(b.column(3), b.column(4)):
-                t = tile(w.values.to_numpy().view(np.uint64), p.values.to_numpy().view(np.uint64), least)
-                out.append((len(t), max([0, *(n for _, _, n in t)]), sum(n for _, _, n in t), len(p)))
+            owner, out = [], []
+            inner = b.column(2).flatten()
+            at = np.concatenate([[0], np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))])
+            patterns = inner.field("pattern")
+            for k in range(b.num_rows):
+                words = b.column(1)[k].values.to_numpy().view(np.uint64)
+                for i in range(at[k], at[k + 1]):
+                    p = patterns[i].values.to_numpy().view(np.uint64)
+                    t = tile(words, p, least)
+                    owner.append(k)
+                    out.append((len(t), max([0, *(n for _, _, n in t)]), sum(n for _, _, n in t), len(p)))
             cols = [pa.array(x, pa.int32()) for x in zip(*out)] if out else [pa.array([], pa.int32())] * 4
-            yield pa.record_batch([*b.columns[:3], *cols], names=["doc_id", "item", "passage", "tiles", "longest", "covered", "passage_words"])
+            yield pa.record_batch([b.column(0).take(pa.array(owner, pa.int64())), inner.field("item"), inner.field("passage"), *cols], names=["doc_id", "item", "passage", "tiles", "longest", "covered", "passage_words"])
 
-    kinds = {k: pairs.schema[k].dataType.simpleString() for k in ("doc_id", "item")}
-    return pairs.select("doc_id", "item", "passage", "words", "pattern").mapInArrow(run, _TILED.format(d=kinds["doc_id"], i=kinds["item"]))
+    rows = pairs.select("doc_id", "words", "passages")
+    return rows.mapInArrow(run, _TILED.format(d=pairs.schema["doc_id"].dataType.simpleString(), i=item)).where("tiles > 0")
 
 
 def leaks(documents: DataFrame, passages: DataFrame, seed: int = SEED, most_seeds: int = MOST_SEEDS) -> DataFrame:
     """(doc_id, item, passage, tiles, longest, covered, passage_words) of each document and passage with a common seed.
 
     documents: (doc_id, text), passages: (item, passage, text). Null and empty texts, and passages
-    of fewer than `seed` words, match nothing. Equal documents and passages each have their own rows.
+    of fewer than `seed` words, match nothing. Equal documents and passages each have their own rows,
+    and so have documents of one doc_id.
     """
+    ship(documents.sparkSession)
     sequences = cut(word_sequences(passages.select("item", "passage", "text")))
     seeds = cut(seeds_of(sequences, seed))
     docs = documents.select("doc_id", "text").where("text is not null")
-    wanted = None
+    wanted, sieve = None, np.zeros(1 << SIEVE_BITS, bool)
     if seeds.count() <= most_seeds:
-        wanted = np.unique(seeds.select("seed").toArrow().column(0).to_numpy()).view(np.uint64)
-        wanted.sort()
-    hits = seeded_documents(docs, seed, wanted)
-    pairs = hits.select("doc_id", "words", F.explode(F.array_distinct("seeds")).alias("seed"))
-    if wanted is None:
-        # beyond the checked size: windows meet seeds by a shuffle, then the words of the few documents left are read again
-        found = hits.select("doc_id", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed").select("doc_id", "item", "passage").distinct()
-        pairs = found.join(hits.select("doc_id", "words").dropDuplicates(["doc_id"]), "doc_id")
+        wanted = np.unique(seeds.select("seed").toArrow().column(0).to_numpy().view(np.uint64))
+        sieve[wanted >> np.uint64(64 - SIEVE_BITS)] = True
+        hits = kept(seeded_documents(docs, seed, sieve, wanted, True), "hits")
     else:
-        pairs = pairs.join(seeds, "seed").groupBy("doc_id", "item", "passage").agg(F.any_value("words").alias("words"))
-    return tiled(pairs.join(sequences.withColumnRenamed("words", "pattern"), ["item", "passage"]), seed)
+        bits = seeds.select(F.shiftrightunsigned("seed", 64 - SIEVE_BITS).alias("bit")).distinct()
+        sieve[bits.toArrow().column(0).to_numpy()] = True
+        hits = kept(seeded_documents(docs, seed, sieve, None, False), "hits")
+    met = hits.select("doc_id", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed").select("doc_id", "item", "passage").distinct()
+    patterns = met.join(sequences.withColumnRenamed("words", "pattern"), ["item", "passage"])
+    of_doc = patterns.groupBy("doc_id").agg(F.collect_list(F.struct("item", "passage", "pattern")).alias("passages"))
+    if wanted is None:
+        # the words of the few documents that share a seed are read again
+        of_doc = kept(of_doc, "met")
+        hits = word_sequences(docs.join(of_doc.select("doc_id"), "doc_id", "left_semi"))
+    return tiled(hits.select("doc_id", "words").join(of_doc, "doc_id"), seed)
 
 
 def eval_passages(spark: SparkSession, sf: str) -> DataFrame:
