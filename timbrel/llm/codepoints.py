@@ -294,15 +294,15 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         return mix((total[ends] - total[starts]) * down[starts])
 
 
-def words(cps: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of letters, digits and marks within a row: (row, start, end, 64-bit hash)."""
+def words(cps: np.ndarray, rows: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of letters, digits and marks within a row: (row, start, end, 64-bit hash). Characters marked as `alone` are words of their own."""
     inside = (classes()[cps] & WORD) > 0
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     cutting = np.zeros(len(cps) + 1, bool)
     cutting[rows] = True
     begins, stops = edge > 0, edge < 0
     both = np.zeros(len(cps) + 1, bool)  # a row ends and the next begins within letters
-    both[1:-1] = inside[1:] & inside[:-1] & cutting[1:-1]
+    both[1:-1] = inside[1:] & inside[:-1] & (cutting[1:-1] if alone is None else cutting[1:-1] | alone[1:] | alone[:-1])
     starts, ends = np.flatnonzero(begins | both), np.flatnonzero(stops | both)
     row = np.searchsorted(rows, starts, "right") - 1
     return row, starts, ends, span_hashes(_mixed_classes()[cps], starts, ends)

@@ -1,10 +1,11 @@
 """Language of texts by character profiles that are fitted on the given texts and their labels.
 
 Labels are unreliable, but mostly right: what is counted is how often each language's texts use each
-letter and each three letters in a row, hashed into BUCKETS counters, over all texts with a plain
-two-letter label. A label whose profile is that of a more frequent one (a wrong or regional label) is
-dropped. A text's language is the profile under which its letters are likeliest; a text much of whose
-letters the profile has never seen is `und`. So the languages are those of the labels, no closed set.
+word, word beginning and word ending (three letters), hashed into BUCKETS counters, over all texts
+with a plain two-letter label. A label whose profile is that of a more frequent one (a wrong or
+regional label) is dropped. A text's language is the profile under which its words are likeliest; a
+text much of whose words, beginnings and endings are new to that profile is `und`. So the languages
+are those of the labels, no closed set.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from timbrel.session import ship
 
 #: Counters of a profile. A label has two letters, so there are at most 676 profiles; a model is at most 676 * BUCKETS numbers.
 BUCKETS = 1 << 15
-#: Profiles less apart than this (nats a letter) are one language; labels with fewer letters than LEAST in all texts give no profile.
-APART, LEAST = 0.25, 2000
-#: A text is of the likeliest language only if at most this share of its letters and triples is new to it.
+#: Profiles less apart than this (nats a word) are one language; labels with fewer words than LEAST in all texts give no profile.
+APART, LEAST = 0.75, 400
+#: A text is of the likeliest language only if at most this share of its words, beginnings and endings is new to it.
 UNSEEN = 0.5
 
 
@@ -34,24 +35,25 @@ def plain_label(label: Column | str) -> Column:
     return F.nullif(F.regexp_extract(c, r"^([a-z]{2})(?:[-_][a-z0-9]+)*$", 1), F.lit(""))
 
 
-def _features(cps: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row offsets) of the letters and triples of each text: two features for each letter."""
-    cps, rows = C.form(True).apply(cps, rows)
-    kind = C.classes()[cps]
-    letter = (kind & (C.WORD | C.DIGIT)) == C.WORD
-    sym = np.where(letter, cps, 32).astype(np.uint64)
-    first = np.zeros(len(cps) + 1, bool)
-    first[rows] = True
-    one = np.where(first[: len(cps)], np.uint64(32), np.concatenate([np.full(1, 32, np.uint64), sym[:-1]])[: len(cps)])
-    two = np.concatenate([np.full(1, 32, np.uint64), one[:-1]])[: len(cps)]
-    two[first[: len(cps)]] = 32
-    triple = C.mix(two << np.uint64(42) | one << np.uint64(21) | sym)
-    single = C.mix(sym + np.uint64(1 << 63))
+def spoken(cps: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, end, hash) of the words of folded texts that aren't numbers; a Han or kana character is a word."""
+    row, start, end, h = C.words(cps, rows, (cps >= 0x3040) & (cps <= 0x30FF) | (cps >= 0x3400) & (cps <= 0x9FFF))
+    digits = np.zeros(len(cps) + 1, np.int64)
+    np.cumsum((C.classes()[cps] & C.DIGIT) > 0, out=digits[1:])
+    word = digits[end] - digits[start] < end - start
+    return row[word], start[word], end[word], h[word]
+
+
+def _features(cps: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Three buckets for each word: of itself, its first and its last three letters."""
+    # three letters lie in a number of 64 bits; a blank stands for those that a short word lacks
+    code = cps.astype(np.uint64)
+    at = lambda i, inside: np.where(inside, code[np.minimum(i, len(code) - 1)], np.uint64(32))
+    two, three = end - start > 1, end - start > 2
+    begin = code[start] << np.uint64(42) | at(start + 1, two) << np.uint64(21) | at(start + 2, three)
+    last = code[end - 1] << np.uint64(42) | at(end - 2, two) << np.uint64(21) | at(end - 3, three)
     mask = np.uint64(BUCKETS - 1)
-    at = np.zeros(len(cps) + 1, np.int64)
-    np.cumsum(letter, out=at[1:])
-    pair = np.stack([(single & mask)[letter], (triple & mask)[letter]], 1).astype(np.int32)
-    return pair.ravel(), 2 * at[rows]
+    return np.stack([h & mask, C.mix(begin) & mask, C.mix(last + np.uint64(1 << 63)) & mask], 1).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -62,32 +64,41 @@ class Languages:
     weight: np.ndarray
     known: np.ndarray
 
-    def of(self, column: pa.Array, least: float = 20.0) -> tuple[list[str | None], list[bool]]:
+    def of(self, column: pa.Array, least: float = 10.0) -> tuple[list[str | None], list[bool]]:
         """(language, sure) of each text. Sure: ahead of every other language by `least` nats; null for null."""
         out: list[str | None] = []
         sure: list[bool] = []
-        for _, _, cps, rows in C.slices(column, 1 << 18):
-            bucket, at = _features(cps, rows)
-            n = len(at) - 1
-            score, seen = np.zeros((n, len(self.names) + 1)), np.zeros((n, len(self.names) + 1))
-            size = np.diff(at)
-            full = np.flatnonzero(size)
-            if len(full) and self.names:
-                # offsets of texts with letters are increasing, so every sum is over one text
-                score[full, :-1] = np.add.reduceat(self.weight[bucket], at[:-1][full], axis=0, dtype=np.float64)
-                seen[full, :-1] = np.add.reduceat(self.known[bucket], at[:-1][full], axis=0, dtype=np.float64)
-                score[:, -1] = -np.inf
-            ranked = np.sort(score, axis=1)
-            best = score.argmax(1)
-            fits = (size > 0) & (seen[np.arange(n), best] >= (1 - UNSEEN) * np.maximum(size, 1)) & (best < len(self.names))
-            ahead = (ranked[:, -1] - ranked[:, -2] >= least) if ranked.shape[1] > 1 else np.zeros(n, bool)
-            out += [self.names[b] if f else "und" for b, f in zip(best, fits)]
-            sure += (fits & ahead).tolist()
+        for _, _, cps, rows in C.slices(column):
+            cps, rows = C.form(True).apply(cps, rows)
+            language, ahead = self.of_words(cps, *spoken(cps, rows), len(rows) - 1)
+            out += [self.names[k] if k >= 0 else "und" for k in language.tolist()]
+            sure += (ahead >= least).tolist()
         if column.null_count:
-            valid = column.is_valid().to_pylist()
-            out = [x if v else None for x, v in zip(out, valid)]
+            out = [x if v else None for x, v in zip(out, column.is_valid().to_pylist())]
         return out, sure
 
+    def of_words(self, cps: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in names or -1, nats ahead of the next) of each of n texts, from their words as `spoken` gives them."""
+        language, ahead = np.full(n, -1), np.zeros(n)
+        if not len(h) or not self.names:
+            return language, ahead
+        bucket = _features(cps, start, end, h)
+        full, first = np.unique(row, return_index=True)
+        score = np.zeros((len(full), len(self.names)))
+        for k in range(0, 3):
+            score += np.add.reduceat(self.weight[bucket[:, k]], first, axis=0, dtype=np.float64)
+        best = score.argmax(1)
+        size = np.diff(np.append(first, len(h)))
+        seen = np.add.reduceat(self.known[bucket, np.repeat(best, size)[:, None]].sum(1), first)
+        fits = seen >= (1 - UNSEEN) * 3 * size
+        language[full[fits]] = best[fits]
+        if len(self.names) > 1:
+            ranked = np.partition(score, -2, axis=1)
+            ahead[full[fits]] = (ranked[:, -1] - ranked[:, -2])[fits]
+        else:
+            ahead[full[fits]] = np.inf
+        return language, ahead
+
 
 def fitted(texts: DataFrame) -> Languages:
     """(text, label) to the profiles of the labels; counts are over all texts, added up in each task before the shuffle."""
@@ -95,11 +106,14 @@ def fitted(texts: DataFrame) -> Languages:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, cps, rows in C.slices(b.column(0)):
-                bucket, at = _features(cps, rows)
+                cps, rows = C.form(True).apply(cps, rows)
+                row, start, end, h = spoken(cps, rows)
                 label = np.array(b.column(1).slice(i, j - i).to_pylist(), object)
                 names, code = np.unique(label.astype(str), return_inverse=True)
-                cell = np.repeat(code.astype(np.int64), np.diff(at)) * BUCKETS + bucket
-                which, n = np.unique(cell, return_counts=True)
+                cell = code.astype(np.int64)[row][:, None] * BUCKETS + _features(cps, start, end, h)
+                count = np.bincount(cell.ravel(), minlength=len(names) * BUCKETS)
+                which = np.flatnonzero(count)
+                n = count[which]
                 yield pa.record_batch([pa.array(names[which // BUCKETS].tolist(), pa.string()), pa.array((which % BUCKETS).astype(np.int32)), pa.array(n.astype(np.int64))], names=["label", "bucket", "n"])
 
     ship(texts.sparkSession)
@@ -118,10 +132,10 @@ def profiles(names: list[str], counts: np.ndarray) -> Languages:
     logp = np.log((counts + 0.1) / (total[:, None] + 0.1 * BUCKETS)) if len(names) else counts
     held: list[int] = []
     for k in np.argsort(-total, kind="stable").tolist():
-        if total[k] < 2 * LEAST:
+        if total[k] < 3 * LEAST:
             continue
         own = counts[k] / total[k]
-        if all(2 * (own @ (logp[k] - logp[m])) >= APART for m in held):
+        if all(3 * (own @ (logp[k] - logp[m])) >= APART for m in held):
             held.append(k)
     held.sort()
-    return Languages([names[k] for k in held], np.ascontiguousarray(logp[held].T, np.float32), np.ascontiguousarray((counts[held] > 0).T.astype(np.float32)))
+    return Languages([names[k] for k in held], np.ascontiguousarray(logp[held].T, np.float32), np.ascontiguousarray((counts[held] > 0).T))
