@@ -2,8 +2,8 @@
 
 Labels are unreliable, but mostly right: what is counted is how often each language's texts use each
 word, word beginning and word ending (three letters), hashed into BUCKETS counters, over all texts
-with a plain two-letter label. A label whose profile is that of a more frequent one (a wrong or
-regional label) is dropped. A text's language is the profile under which its words are likeliest; a
+with a plain two-letter label. A label each of whose words is about as likely in some more frequent
+one (a wrong label, whatever it mixes) is dropped. A text's language is the profile under which its words are likeliest; a
 text much of whose words, beginnings and endings are new to that profile is `und`. So the languages
 are those of the labels, no closed set.
 """
@@ -23,8 +23,8 @@ from timbrel.session import ship
 
 #: Counters of a profile. A label has two letters, so there are at most 676 profiles; a model is at most 676 * BUCKETS numbers.
 BUCKETS = 1 << 15
-#: Profiles less apart than this (nats a word) are one language; labels with fewer words than LEAST in all texts give no profile.
-APART, LEAST = 0.75, 400
+#: A label's words are this much likelier (nats a word) than in the best of the others; labels with fewer words than LEAST in all texts give no profile.
+APART, LEAST = 3.0, 400
 #: A text is of the likeliest language only if at most this share of its words, beginnings and endings is new to it.
 UNSEEN = 0.5
 
@@ -135,7 +135,7 @@ def profiles(names: list[str], counts: np.ndarray) -> Languages:
         if total[k] < 3 * LEAST:
             continue
         own = counts[k] / total[k]
-        if all(3 * (own @ (logp[k] - logp[m])) >= APART for m in held):
+        if not held or 3 * (own @ (logp[k] - logp[held].max(0))) >= APART:
             held.append(k)
     held.sort()
     return Languages([names[k] for k in held], np.ascontiguousarray(logp[held].T, np.float32), np.ascontiguousarray((counts[held] > 0).T))
