@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from timbrel.operators.messages import MessageStore
 from timbrel.session import shared_path
 from timbrel.sources import jsonl, tabular
 from timbrel.sources.pages import LandedPages
+from timbrel.streaming import state
 
 
 def rows(df):
@@ -41,9 +43,12 @@ def test_interval_map_against_sorting():
     rnd = random.Random(3)
     for _ in range(300):
         spans = [(a, a + rnd.randrange(1, 15)) for a in (rnd.randrange(0, 100) for _ in range(rnd.randrange(1, 20)))]
-        m = IntervalMap()
+        m, told = IntervalMap(), Counter()
         for a, b in spans:
-            m.add(a, b)
+            for kind, lo, hi, sign in m.add(a, b):
+                told[kind, lo, hi] += sign
+            # what the insertions said changed adds up to what the map holds
+            assert {k for k, n in told.items() if n} == {(0, *p) for p in m.periods()} | {(1, *g) for g in m.gaps()} and set(told.values()) <= {0, 1}
         assert m.gaps() == plain_gaps(spans)
 
 
@@ -63,6 +68,47 @@ def test_gaps_of_a_hot_entity_spread_over_tasks(spark):
     assert intervals.periods(state).where("entity = 1").count() == covered[1]["periods"]
 
 
+def test_keyed_state_grows_by_batches(spark):
+    """A stream of shuffled intervals in several batches: the maps, spread over parts of time, give the gaps of each entity; long intervals cover later parts."""
+    rnd = random.Random(77)
+    data = [(1, a, a + rnd.randrange(1, 9)) for a in (rnd.randrange(0, 20_000) for _ in range(3000))] + [(1, 4000, 9000), (1, 15, 1015), (2, 0, 10**15), (2, 5, 6), (3, 5, 5), (3, None, 9), (None, 0, 5), (None, 7, 9), (None, 7, 9)]
+    rnd.shuffle(data)
+    path = shared_path(spark, "stream")
+    df = spark.createDataFrame(data, "entity int, start_ms bigint, end_ms bigint")
+    for i in range(3):
+        df.where(F.abs(F.hash("start_ms")) % 3 == i).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    held = state.keyed_state(spark, stream, part_ms=1000)
+    assert held.where("entity = 1").select("part").distinct().count() == 20
+    want = [(1, *g) for g in plain_gaps([x[1:] for x in data if x[0] == 1])]
+    got = [tuple(r) for r in intervals.gaps(held).collect()]
+    assert sorted(x for x in got if x[0] is not None) == want and [x for x in got if x[0] is None] == [(None, 5, 7)]
+    batch = intervals.interval_state(df)
+    assert {tuple(r) for r in intervals.periods(held).collect()} == {tuple(r) for r in intervals.periods(batch).collect()}
+    assert {tuple(r) for r in intervals.coverage(held).collect()} == {tuple(r) for r in intervals.coverage(batch).collect()}
+
+
+def test_latest_of_a_log_in_batches(spark):
+    path = shared_path(spark, "log")
+    rows_ = [(i % 40, i, f"v{i}") for i in range(400)] + [(None, 1, "n")]
+    df = spark.createDataFrame(rows_, "k int, n int, v string")
+    for i in range(3):
+        df.where(F.coalesce("n", F.lit(0)) % 3 == i).coalesce(1).write.mode("append").parquet(path)
+    got = state.latest_of_log(spark, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), ["k"], "n")
+    assert {tuple(r) for r in got.collect()} == {(k, 360 + k, f"v{360 + k}") for k in range(40)} | {(None, 1, "n")}
+
+
+def test_running_max_in_ranges(spark):
+    rnd = random.Random(5)
+    data = [(rnd.choice([1, 1, 1, 2, None]), i, rnd.randrange(1000)) for i in range(2000)]
+    df = spark.createDataFrame(data, "g int, o int, v int")
+    got = {r["o"]: r["m"] for r in keyed.running_max(df, ["g"], ["o"], "v", "m").collect()}
+    top = {}
+    for g, o, v in data:
+        assert got[o] == top.get(g)
+        top[g] = max(v, top.get(g, v))
+
+
 def test_no_intervals(spark):
     state = intervals.interval_state(spark.createDataFrame([], "entity string, start_ms bigint, end_ms bigint"))
     assert intervals.gaps(state).count() == intervals.coverage(state).count() == intervals.periods(state).count() == 0

@@ -1,11 +1,12 @@
 """Continuous periods and gaps of timed intervals, by keyed ordered interval maps.
 
-Intervals are range-partitioned by (entity, start), so that an entity with a third of all rows is
-spread over many tasks. Inside a task one :class:`IntervalMap` is kept for the entity at hand; every
-interval is inserted by binary search and merged with what it touches. What an earlier task's
-intervals still cover of a later task's range is settled afterwards from one number per (entity,
-task), the running maximum of the ends: at most one such number per task, which is the proven bound
-of the only broadcast here.
+An :class:`IntervalMap` is kept for each entity and stretch of time (part); an interval belongs to the
+part it starts in. Every interval is inserted by binary search, merged with what it touches, and the
+gaps beside it are updated. In a stream the maps are keyed state (``timbrel.streaming.state``); in
+batch, `interval_state` holds one map at a time over range-partitioned starts. Both leave the maps'
+contents, periods and gaps by part, and what the intervals of earlier parts still cover of a later
+one is settled afterwards by a running maximum of the ends, computed in ranges. So an entity with a
+third of all rows is spread over tasks in every step, and nothing is broadcast by us.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from timbrel.session import cut
+from timbrel.operators.keyed import numbered, running_max
+from timbrel.session import cut, ship
 
 
 class IntervalMap:
@@ -32,12 +33,24 @@ class IntervalMap:
     def __init__(self, starts: list[int] | None = None, ends: list[int] | None = None) -> None:
         self.starts, self.ends = starts or [], ends or []
 
-    def add(self, start: int, end: int) -> None:
+    def add(self, start: int, end: int) -> list[tuple[int, int, int, int]]:
+        """Insert an interval. Returns what it changed: (kind 0 period or 1 gap, start, end, 1 come or -1 gone)."""
         i = bisect_left(self.ends, start)
         j = bisect_right(self.starts, end, i)
+        starts, ends, n = self.starts, self.ends, len(self.starts)
+        if j == i + 1 and starts[i] <= start and end <= ends[i]:
+            return []
+        changed = [(0, starts[k], ends[k], -1) for k in range(i, j)]
+        changed += [(1, ends[k - 1], starts[k], -1) for k in range(max(i, 1), min(j, n - 1) + 1)]
         if i < j:
-            start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
-        self.starts[i:j], self.ends[i:j] = [start], [end]
+            start, end = min(start, starts[i]), max(end, ends[j - 1])
+        changed.append((0, start, end, 1))
+        if i:
+            changed.append((1, ends[i - 1], start, 1))
+        if j < n:
+            changed.append((1, end, starts[j], 1))
+        starts[i:j], ends[i:j] = [start], [end]
+        return changed
 
     def periods(self) -> list[tuple[int, int]]:
         return list(zip(self.starts, self.ends))
@@ -93,21 +106,21 @@ def interval_state(intervals: DataFrame) -> DataFrame:
     schema = T.StructType([kept.schema["entity"], T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType())])
     arrow = to_arrow_schema(schema)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship(spark)
     parts = kept.repartitionByRange(n, "entity", "start_ms").sortWithinPartitions("entity", "start_ms")
     return cut(parts.mapInArrow(lambda it: _fold(it, arrow), schema))
 
 
 def _carried(state: DataFrame) -> DataFrame:
-    """(entity, part, first, carry): where an entity goes on in a later task, how far earlier tasks cover it."""
+    """(entity, part, first, carry): where an entity goes on in a later part, how far earlier parts cover it."""
     spans = state.where("kind = 0").groupBy("entity", "part").agg(F.min("start_ms").alias("first"), F.max("end_ms").alias("last"))
-    before = W.partitionBy("entity").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    return spans.select("entity", "part", "first", F.max("last").over(before).alias("carry")).where("carry is not null")
+    return running_max(spans, ["entity"], ["part"], "last", "carry").select("entity", "part", "first", "carry").where("carry is not null")
 
 
 def gaps(state: DataFrame) -> DataFrame:
     """(entity, gap_start_ms, gap_end_ms): each maximal stretch inside an entity's span that nothing covers."""
-    carried = _carried(state)
-    s, c = state.where("kind = 1").alias("s"), F.broadcast(carried).alias("c")
+    carried = cut(_carried(state))
+    s, c = state.where("kind = 1").alias("s"), carried.alias("c")
     low = F.greatest("s.start_ms", F.coalesce("c.carry", "s.start_ms"))
     inner = s.join(c, F.expr("s.entity <=> c.entity and s.part = c.part"), "left").select("s.entity", low.alias("gap_start_ms"), F.col("s.end_ms").alias("gap_end_ms"))
     between = carried.select("entity", F.col("carry").alias("gap_start_ms"), F.col("first").alias("gap_end_ms"))
@@ -123,10 +136,16 @@ def coverage(state: DataFrame) -> DataFrame:
 
 
 def periods(state: DataFrame) -> DataFrame:
-    """(entity, start_ms, end_ms): the continuous covered periods, from the span and the gaps between."""
+    """(entity, start_ms, end_ms): the continuous covered periods, from the span and the gaps between.
+
+    The gaps are numbered in ranges; period k begins where gap k ends and ends where gap k + 1 begins.
+    """
     span = state.where("kind = 0").groupBy("entity").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b"))
-    edges = span.select("entity", F.lit(None).cast("bigint").alias("stop"), F.col("a").alias("start_ms"), "b")
-    edges = edges.unionByName(gaps(state).select("entity", F.col("gap_start_ms").alias("stop"), F.col("gap_end_ms").alias("start_ms"), F.lit(None).cast("bigint").alias("b")))
-    w = W.partitionBy("entity").orderBy("start_ms")
-    whole = W.partitionBy("entity").orderBy("start_ms").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return edges.select("entity", "start_ms", F.coalesce(F.lead("stop").over(w), F.max("b").over(whole)).alias("end_ms"))
+    holes = numbered(gaps(state), ["entity"], ["gap_start_ms"], "k")
+    count = holes.groupBy("entity").agg(F.max("k").alias("n"))
+    s, c = span.alias("s"), count.alias("c")
+    whole = s.join(c, F.expr("s.entity <=> c.entity"), "left").select("s.entity", "a", "b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    begins = whole.select("entity", F.lit(0).cast("bigint").alias("k"), F.col("a").alias("start_ms")).unionByName(holes.select("entity", F.col("k").cast("bigint").alias("k"), F.col("gap_end_ms").alias("start_ms")))
+    ends = whole.select("entity", F.col("n").alias("k"), F.col("b").alias("end_ms")).unionByName(holes.select("entity", (F.col("k") - 1).cast("bigint").alias("k"), F.col("gap_start_ms").alias("end_ms")))
+    x, y = begins.alias("x"), ends.alias("y")
+    return x.join(y, F.expr("x.entity <=> y.entity and x.k = y.k")).select("x.entity", "start_ms", "end_ms")

@@ -83,6 +83,26 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "number
     return ranged.withColumn("_place", place).join(offsets, same).withColumn(name, F.col("_place") + F.col("_before")).select(*df.columns, name)
 
 
+def running_max(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """The greatest value of the rows before each row of its group, null for the first, without bringing a group into one task.
+
+    Like `numbered`: rows are range-partitioned by group and order, and what the ranges before have
+    reached is one value per range and group. Rows of equal order see one another in any sequence.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()))
+    tops = ranged.groupBy(*by, "_range").agg(F.max(value).alias("_top"))
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = tops.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), F.max("_top").over(earlier).alias("_before"))
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    here = W.partitionBy("_range", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.withColumn("_here", F.max(value).over(here)).join(offsets, same)
+    # greatest skips nulls
+    return out.select(*df.columns, F.greatest("_here", "_before").alias(name))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two snapshots hold the same rows, duplicates counted, in any order."""
     b = b.select(*a.columns)

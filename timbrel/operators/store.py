@@ -86,7 +86,7 @@ class Store:
             walk(self.manifest(n))
         gone = []
         for table in self.names(self.root):
-            for version in self.names(f"{self.root}/{table}") if table != "manifest" else []:
+            for version in self.names(f"{self.root}/{table}") if table not in ("manifest", "checkpoint") else []:
                 at = f"{table}/{version}"
                 inner = [f"{at}/{n}" for n in self.names(f"{self.root}/{at}") if n.startswith("_dir=")]
                 dead = [d for d in inner if d not in used] if inner else [at] if at not in used else []

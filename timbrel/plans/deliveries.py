@@ -9,6 +9,7 @@ from timbrel.functions.text import instant_micros, millis, strip
 from timbrel.operators import intervals
 from timbrel.operators.messages import MessageStore
 from timbrel.session import shared_path, table
+from timbrel.streaming import state
 
 
 def segment_intervals(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,15 +19,30 @@ def segment_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return seg.where("start_ms >= 0 and dur_ms > 0").select("entity", "start_ms", F.expr("start_ms + dur_ms").alias("end_ms"))
 
 
+def segment_state(spark: SparkSession, sf: str, batches: int = 1) -> DataFrame:
+    """The interval maps of all payloads, grown as keyed state by a stream of their intervals that arrives in some batches."""
+    path = shared_path(spark, "intervals")
+    x = segment_intervals(spark, sf)
+    (x.repartition(batches, "start_ms") if batches > 1 else x).write.parquet(path)
+    stream = spark.readStream.schema(x.schema)
+    stream = stream.option("maxFilesPerTrigger", 1) if batches > 1 else stream
+    return state.keyed_state(spark, stream.parquet(path))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.gaps(intervals.interval_state(segment_intervals(spark, sf))).withColumnRenamed("entity", "raw_id")
+    return intervals.gaps(segment_state(spark, sf)).withColumnRenamed("entity", "raw_id")
 
 
 def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.coverage(intervals.interval_state(segment_intervals(spark, sf))).withColumnRenamed("entity", "raw_id")
+    return intervals.coverage(segment_state(spark, sf)).withColumnRenamed("entity", "raw_id")
 
 
 def p3_periods(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.periods(segment_state(spark, sf)).withColumnRenamed("entity", "raw_id")
+
+
+def periods_in_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The same periods without a stream, by one map at a time over range-partitioned starts."""
     return intervals.periods(intervals.interval_state(segment_intervals(spark, sf))).withColumnRenamed("entity", "raw_id")
 
 
@@ -67,7 +83,7 @@ def p5_unique(spark: SparkSession, sf: str) -> DataFrame:
     return kept.join(copies, ["video", "instant"]).select("raw_id", "video", "instant", "n_segments", "copies", "batches")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_coverage, p3_periods, p5_found, p5_unique)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_coverage, p3_periods, periods_in_batch, p5_found, p5_unique)}
 
 _VALID = """
 valid as (
@@ -95,6 +111,9 @@ SQL = {
     "p3_periods": f"""with {_VALID},
       island as (select *, sum(case when reach is null or a > reach then 1 else 0 end) over (partition by raw_id order by a, b rows unbounded preceding) as k from marked)
       select raw_id, min(a) as start_ms, max(b) as end_ms from island group by raw_id, k""",
+    "periods_in_batch": f"""with {_VALID},
+      island as (select *, sum(case when reach is null or a > reach then 1 else 0 end) over (partition by raw_id order by a, b rows unbounded preceding) as k from marked)
+      select raw_id, min(a) as start_ms, max(b) as end_ms from island group by raw_id, k""",
     "p5_found": f"""with {_MESSAGES},
       ranked as (select raw_id, row_number() over (partition by video, instant order by raw_id) as rn from stamped where video is not null and instant is not null)
       select raw_id from ranked where rn > 1""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbrel.functions.text import instant_micros
-from timbrel.operators.keyed import latest
+from timbrel.operators import intervals
 from timbrel.plans import deliveries
 from timbrel.session import shared_path, table
 from timbrel.sources import jsonl, tabular
@@ -56,13 +56,8 @@ def stream_latest_event(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_coverage(s: SparkSession, d: str) -> DataFrame:
-    """Coverage of each payload from a stream of its intervals, its interval map held as keyed state."""
-    path, out = shared_path(s, "intervals"), shared_path(s, "coverage")
-    deliveries.segment_intervals(s, d).repartition(3, "start_ms").write.parquet(path)
-    stream = s.readStream.schema("entity bigint, start_ms bigint, end_ms bigint").option("maxFilesPerTrigger", 1).parquet(path)
-    state.run_to_table(state.coverage_of_stream(stream), out, "update")
-    last = latest(s.read.parquet(f"{out}/data").drop("n"), ["entity"], "batch")
-    return last.drop("batch").withColumnRenamed("entity", "raw_id")
+    """Coverage of each payload from a stream whose intervals arrive mixed, in three batches."""
+    return intervals.coverage(deliveries.segment_state(s, d, batches=3)).withColumnRenamed("entity", "raw_id")
 
 
 QUERIES = {f.__name__: f for f in (jsonl_lenient, jsonl_round_trip, numbered_lines, csv_round_trip, stream_latest_event, stream_coverage)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from timbrel.operators.intervals import IntervalMap
 from timbrel.operators.keyed import latest
-from timbrel.session import shared_path
+from timbrel.operators.store import Store, bucket
+from timbrel.session import cut, kept, shared_path, ship
+
+
+#: Buckets of the latest entries.
+BUCKETS = 8
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str, prepare=None) -> None:
@@ -26,27 +32,68 @@ def run_to_table(stream: DataFrame, path: str, mode: str, prepare=None) -> None:
 
 
 def latest_of_log(spark: SparkSession, log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Latest entry of each key of a log that is read as a stream: every batch is reduced first, then the batches' winners."""
-    path = shared_path(spark, "log")
-    run_to_table(log, path, "append", lambda b: latest(b, keys, order))
-    return latest(spark.read.parquet(f"{path}/data").drop("n", "batch"), keys, order)
+    """Latest entry of each key of a log that is read as a stream: each batch's winners are merged into the buckets that they fall into.
+
+    The winners so far lie in a versioned store, in buckets by key; a batch rewrites the buckets of its
+    keys only. A batch that is repeated after a failure changes nothing.
+    """
+    store = Store(spark, shared_path(spark, "log"))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        now = {"buckets": {}, "batch": -1} | store.manifest()
+        if number <= now["batch"]:
+            return
+        new = cut(latest(batch, keys, order).withColumn("_bucket", bucket(keys, BUCKETS)))
+        touched = [b for (b,) in new.select("_bucket").distinct().collect()]
+        held = store.read(now["buckets"], touched)
+        both = new if held is None else new.unionByName(held)
+        written = store.write(latest(both, [*keys, "_bucket"], order), "_bucket", "latest", now["version"] + 1)
+        store.publish({"version": now["version"] + 1, "buckets": now["buckets"] | {b: [d] for b, d in written.items()}, "batch": number})
+        store.vacuum(2)
+
+    q = log.writeStream.foreachBatch(merge).option("checkpointLocation", f"{store.root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = store.read(store.manifest().get("buckets", {}))
+    return found.drop("_bucket").select(*keys, order, *[c for c in log.columns if c not in [*keys, order]]) if found is not None else spark.createDataFrame([], log.schema)
+
+
+#: Milliseconds of starts that one map holds; an entity's maps are spread over the tasks.
+PART_MS = 3_600_000
 
 
 def _grow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held = state.get if state.exists else ([], [])
-    m = IntervalMap(list(held[0]), list(held[1]))
+    m, net = IntervalMap(list(held[0]), list(held[1])), Counter()
     for f in frames:
         for a, b in zip(f["start_ms"].tolist(), f["end_ms"].tolist()):
-            if b > a:
-                m.add(a, b)
-    state.update((m.starts, m.ends))
-    if m.starts:
-        covered = sum(m.ends) - sum(m.starts)
-        yield pd.DataFrame({"entity": [key[0]], "first_ms": [m.starts[0]], "last_ms": [m.ends[-1]], "covered_ms": [covered], "gap_ms": [m.ends[-1] - m.starts[0] - covered], "periods": [len(m.starts)]})
+            for kind, lo, hi, sign in m.add(a, b):
+                net[kind, lo, hi] += sign
+    changes = [(key[0], key[1], *what, n) for what, n in net.items() if n]
+    if changes:
+        state.update((m.starts, m.ends))
+        yield pd.DataFrame(changes, columns=["entity", "part", "kind", "start_ms", "end_ms", "sign"])
+
 
+def interval_changes(intervals: DataFrame, part_ms: int = PART_MS) -> DataFrame:
+    """(entity, start_ms, end_ms) as a stream to what each batch changes in the interval maps: (entity, part, kind 0 period or 1 gap, start_ms, end_ms, sign).
 
-def coverage_of_stream(intervals: DataFrame) -> DataFrame:
-    """(entity, start_ms, end_ms) as a stream to the entity's coverage after each batch; the state is its interval map."""
+    The state is one ordered map for each entity and stretch of `part_ms` in which its intervals start:
+    it is the map of a part alone that a batch reads and writes. Rows with a null bound or an end not
+    after the start are no intervals; a null entity is an entity of its own; a repeated row changes nothing.
+    """
     kind = intervals.schema["entity"].dataType.simpleString()
-    out = f"entity {kind}, first_ms bigint, last_ms bigint, covered_ms bigint, gap_ms bigint, periods bigint"
-    return intervals.where("entity is not null and end_ms > start_ms").groupBy("entity").applyInPandasWithState(_grow, out, "starts array<bigint>, ends array<bigint>", "update", GroupStateTimeout.NoTimeout)
+    ship(intervals.sparkSession)
+    rows = intervals.where("end_ms > start_ms").select("entity", F.floor(F.col("start_ms") / part_ms).alias("part"), "start_ms", "end_ms")
+    out = f"entity {kind}, part bigint, kind int, start_ms bigint, end_ms bigint, sign int"
+    return rows.groupBy("entity", "part").applyInPandasWithState(_grow, out, "starts array<bigint>, ends array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
+def keyed_state(spark: SparkSession, stream: DataFrame, part_ms: int = PART_MS) -> DataFrame:
+    """Run the stream over all that is there; the contents of its interval maps, as `intervals.gaps`, `coverage` and `periods` take them."""
+    out = shared_path(spark, "changes")
+    run_to_table(interval_changes(stream, part_ms), out, "append")
+    kind = stream.schema["entity"].dataType.simpleString()
+    changes = spark.read.schema(f"entity {kind}, part bigint, kind int, start_ms bigint, end_ms bigint, sign int").option("recursiveFileLookup", True).parquet(f"{out}/data")
+    # a period or gap that a later batch has replaced adds up to nothing
+    held = changes.groupBy("entity", "part", "kind", "start_ms", "end_ms").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+    return kept(held, "maps")
