@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from timbrel.functions.text import collapse
 
-#: A term that ends a course name.
+# A term that ends a course name, a sentence that does, and the shapes of course codes.
 TERM = r"(?i),?\s+(?:Fall|Spring|Summer|Winter)\s+\d{4}\b"
+TERMS = r"(?i),?\s+(?:Fall|Spring|Summer|Winter|IAP)\s+\d{4}\b"
+CATALOGUE = " View the complete course"
+CODE_SHAPES = r"RES[.-]\d+(?:[-.][A-Z]?\d+)*|[A-Z]{2,5}[.-]\d+(?:[-.]\d+)*[A-Z]*|\d+[A-Z]*(?:\.\d+)+[A-Z]*"
 
 
 def iso_duration_seconds(c: Column | str) -> Column:
@@ -49,6 +52,36 @@ def course_name(title: Column | str, schools: Sequence[str]) -> Column:
     return F.when(F.lower(name).rlike("^(lec|lecture) "), F.lit("")).otherwise(name)
 
 
+def course(sources: Mapping[str, Column | str], schools: Sequence[str]) -> Column:
+    """struct(code, name, confidence, evidence) of the first code that follows a school's name in the first of the named texts that has one.
+
+    Codes are upper case, a catalogue code 'RES-6' is written 'RES.6'. The name is what follows, up to a
+    term, else up to the catalogue sentence and 160 characters; '' if it is a lecture number or nothing.
+    """
+    edge = " |:\\-\u2013\u2014"
+    rx = rf"(?i)\b(?:{'|'.join(schools)})\s+({CODE_SHAPES})\b"
+
+    def found(source: str, text: Column) -> Column:
+        code = F.upper(F.regexp_extract(text, rx, 1))
+        code = F.when(code.startswith("RES-"), F.concat(F.lit("RES."), F.substring(code, F.lit(5), F.length(code)))).otherwise(code)
+        rest = F.regexp_replace(F.regexp_extract(text, rf"^.*?{rx}(.*)$", 2), f"^[{edge}]+", "")
+        until = F.when(rest.rlike(TERMS), F.get(F.split(rest, TERMS, 2), 0)).otherwise(F.substring(F.substring_index(rest, CATALOGUE, 1), 1, 160))
+        name = F.regexp_replace(until, f"^[{edge},]+|[{edge},]+$", "")
+        name = F.when(F.lower(name).rlike("^(lec|lecture) "), "").otherwise(name)
+        return F.when(code != "", F.struct(code.alias("code"), name.alias("name"), F.lit("high").alias("confidence"), F.concat(F.lit(f"{source}:"), F.regexp_extract(text, rx, 0)).alias("evidence")))
+
+    none = F.struct(F.lit("unresolved").alias("code"), F.lit("unresolved").alias("name"), F.lit("unresolved").alias("confidence"), F.lit("no_course_code_pattern").alias("evidence"))
+    return F.coalesce(*[found(k, collapse(t)) for k, t in sources.items()], none)
+
+
+def department_class(code: Column, text: Column, departments: Mapping[str, str], keywords: Mapping[str, Sequence[str]]) -> tuple[Column, Column]:
+    """(class, evidence): by the part of a course code before its first stop, if that is a known department, else by keywords."""
+    part = F.substring_index(code, ".", 1)
+    known = F.create_map(*[F.lit(x) for kv in departments.items() for x in kv])[part]
+    name, evidence = keyword_class(text, keywords)
+    return F.coalesce(known, name), F.when(known.isNotNull(), F.concat(F.lit("department:"), part)).otherwise(evidence)
+
+
 def keyword_class(text: Column, keywords: Mapping[str, Sequence[str]]) -> tuple[Column, Column]:
     """(class, evidence): the class with most keywords present in a text.
 

@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timbrel.functions.text import instant_micros
+
 
 def _strict(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
@@ -43,11 +45,49 @@ def bounds(name: str, least: float | None = None, most: float | None = None, abo
     return _strict(out)
 
 
-def items(name: str, least: int = 0, unique: bool = False) -> Column:
+def items(name: str, least: int = 0, unique: bool = False, most: int | None = None) -> Column:
     c = F.size(name) >= least
+    if most is not None:
+        c &= F.size(name) <= most
     return _strict(c & (F.size(name) == F.size(F.array_distinct(name))) if unique else c)
 
 
+def const(name: str, value: object) -> Column:
+    return _strict(F.col(name) == F.lit(value))
+
+
+def date_time(name: str) -> Column:
+    """A date and time of day with its zone, that exists."""
+    return instant_micros(name).isNotNull()
+
+
+def kind(json: str | Column, path: str, *kinds: str) -> Column:
+    """The JSON type at a path of JSON text is one of string, number, integer, boolean, array, object or null; a missing field has none."""
+    v = F.try_variant_get(F.try_parse_json(json), path, "variant")
+    t = F.schema_of_variant(v)
+    tests = {"string": t == "STRING", "boolean": t == "BOOLEAN", "array": t.startswith("ARRAY"), "object": t.startswith("OBJECT"), "null": F.is_variant_null(v) | (t == "VOID"), "integer": t == "BIGINT", "number": t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")}
+    out = F.lit(False)
+    for k in kinds:
+        out |= tests[k]
+    return _strict(v.isNotNull() & out)
+
+
+def no_others(json: str | Column, *allowed: str) -> Column:
+    """The object holds no field but those allowed."""
+    return _strict(F.size(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, allowed)))) == 0)
+
+
+def each(name: str, rules: Mapping[str, object]) -> dict[str, Column]:
+    """A definition for the elements of an array, as rules of the row: name.rule holds if every element holds it."""
+    return {f"{name}.{k}": every(name, rule) for k, rule in rules.items()}
+
+
+def require(df: DataFrame, rules: Mapping[str, Column], key: str) -> DataFrame:
+    """The table as it is, but reading a row that breaks a rule raises an error that names the row and the rules: put it before a write."""
+    bad = broken(rules)
+    return df.where(F.when(bad == "", True).otherwise(F.raise_error(F.concat(F.lit(f"{key} "), F.col(key).cast("string"), F.lit(" breaks "), bad)).cast("boolean")))
+
+
 def every(name: str, rule) -> Column:
     """All elements of an array hold a rule; a null array has none to break it."""
     return F.coalesce(F.forall(F.col(name), lambda x: _strict(rule(x))), F.lit(True))

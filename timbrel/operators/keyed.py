@@ -103,6 +103,25 @@ def running_max(df: DataFrame, by: list[str], order: list[str], value: str, name
     return out.select(*df.columns, F.greatest("_here", "_before").alias(name))
 
 
+def match_exactly(wanted: DataFrame, offered: DataFrame, keys: list[str]) -> DataFrame:
+    """Each distinct wanted key with how many wanted and offered rows it has, and whether it is ok, missing or duplicate.
+
+    Only counts meet, so a key with many rows joins nothing large; null keys are left out.
+    """
+    a = wanted.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("wanted"))
+    b = offered.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("offered"))
+    x = a.join(b, keys, "left").withColumn("offered", F.coalesce("offered", F.lit(0)))
+    return x.withColumn("status", F.when(F.col("offered") == 0, "missing").when((F.col("offered") > 1) | (F.col("wanted") > 1), "duplicate").otherwise("ok"))
+
+
+def join_exactly(wanted: DataFrame, offered: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
+    """Join one to one; raises, naming the first few, if a wanted key has no partner or several, or is wanted twice."""
+    bad = match_exactly(wanted, offered, keys).where("status <> 'ok'").orderBy(*keys).limit(most).collect()
+    if bad:
+        raise ValueError(f"not one to one: {[(*[r[k] for k in keys], r['status']) for r in bad]}")
+    return wanted.join(offered, keys)
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two snapshots hold the same rows, duplicates counted, in any order."""
     b = b.select(*a.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timbrel.functions.records import canonical_json
 from timbrel.functions.text import instant_micros, millis, strip
 from timbrel.operators import chunking, contracts, ranges, vectors
 from timbrel.session import table
@@ -17,8 +18,13 @@ def silver(s: SparkSession, d: str) -> DataFrame:
     seg = F.transform("segments", lambda x, i: F.struct(i.alias("segment_index"), F.coalesce(x["text"], F.lit("")).alias("text"), millis(x["start"]).alias("start_ms"), millis(x["duration"]).alias("duration_ms")))
     raw = table(s, d, "transcripts_raw").where("size(segments) > 0").select("raw_id", "bronze_file", strip("video_id").alias("video_id"), "language_code", "is_generated", "fetched_at", seg.alias("segments"), F.sha2(F.to_json(F.struct("segments")), 256).alias("source_payload_sha256"))
     text = F.array_join(F.transform("segments", lambda x: x["text"]), "\n")
-    line = F.transform("segments", lambda x: F.concat_ws("|", x["segment_index"].cast("string"), F.coalesce(x["start_ms"].cast("string"), F.lit("")), F.coalesce(x["duration_ms"].cast("string"), F.lit("")), x["text"]))
-    return raw.withColumn("segment_count", F.size("segments")).withColumn("transcript_text", text).withColumn("transcript_length", F.length("transcript_text")).withColumn("content_sha256", F.sha2(F.concat_ws("\n", "video_id", F.array_join(line, "\n")), 256))
+    return raw.withColumn("segment_count", F.size("segments")).withColumn("transcript_text", text).withColumn("transcript_length", F.length("transcript_text")).withColumn("content_sha256", F.sha2(content_json(), 256))
+
+
+def content_json():
+    """What a record says, as canonical JSON: its video, and the place, times and text of its captions."""
+    said = F.transform("segments", lambda x: F.struct(x["duration_ms"].alias("duration_ms"), x["segment_index"].alias("segment_index"), x["start_ms"].alias("start_ms"), x["text"].alias("text")))
+    return canonical_json(video_id="video_id", segments=said)
 
 
 def silver_records(s: SparkSession, d: str) -> DataFrame:
@@ -31,13 +37,15 @@ def silver_validation(s: SparkSession, d: str) -> DataFrame:
     r = silver(s, d).join(source, "raw_id")
     same_text = F.forall(F.zip_with("segments", "source", lambda a, b: a["text"].eqNullSafe(F.coalesce(b["text"], F.lit("")))), lambda x: x)
     same_time = F.forall(F.zip_with("segments", "source", lambda a, b: a["start_ms"].eqNullSafe(millis(b["start"])) & a["duration_ms"].eqNullSafe(millis(b["duration"]))), lambda x: x)
-    indexed = F.forall("segments", lambda x: x["segment_index"] >= 0) & (F.element_at("segments", -1)["segment_index"] == F.col("segment_count") - 1)
+    indexed = F.forall(F.transform("segments", lambda x, i: x["segment_index"] == i), lambda ok: ok)
     checks = {
         "identified": F.coalesce((F.col("video_id") != "") & F.col("video_id").isNotNull(), F.lit(False)),
         "fetched_at_readable": instant_micros("fetched_at").isNotNull(),
         "text_equal": (F.size("segments") == F.size("source")) & same_text,
         "timing_equal": same_time,
         "index_continuous": indexed,
+        "source_hash_valid": F.col("source_payload_sha256") == F.sha2(F.to_json(F.struct(F.col("source").alias("segments"))), 256),
+        "content_hash_valid": F.col("content_sha256") == F.sha2(content_json(), 256),
         "time_valid": F.forall("segments", lambda x: F.coalesce((x["start_ms"] >= 0) & (x["duration_ms"] > 0), F.lit(False))),
         "text_not_empty": strip("transcript_text") != "",
     }
@@ -213,9 +221,9 @@ y as (select x.*, x.to_e - p.before as t from x join p on p.raw_id = x.raw_id an
 _MS = "coalesce(cast(cast(round({} * 1000) as bigint) as varchar), '')"
 SQL = {
     "silver_records": f"""with s as (select raw_id, {_strip('video_id')} as video_id, segments, array_to_string(list_transform(segments, lambda x: coalesce(x.text, '')), chr(10)) as txt,
-      array_to_string(list_transform(range(len(segments)), lambda i: cast(i as varchar) || '|' || {_MS.format('segments[i + 1].start')} || '|' || {_MS.format('segments[i + 1].duration')} || '|' || coalesce(segments[i + 1].text, '')), chr(10)) as lines
+      to_json(list_transform(range(len(segments)), lambda i: {{'duration_ms': cast(round(segments[i + 1].duration * 1000) as bigint), 'segment_index': i, 'start_ms': cast(round(segments[i + 1].start * 1000) as bigint), 'text': coalesce(segments[i + 1].text, '')}})) as said
       from transcripts_raw where len(segments) > 0)
-      select raw_id, video_id, cast(len(segments) as int) as segment_count, cast(length(txt) as int) as transcript_length, sha256(concat_ws(chr(10), video_id, lines)) as content_sha256 from s""",
+      select raw_id, video_id, cast(len(segments) as int) as segment_count, cast(length(txt) as int) as transcript_length, sha256('{{"segments":' || said || ',"video_id":' || coalesce(to_json(video_id), 'null') || '}}') as content_sha256 from s""",
     "question_contract": r"""with q as (select question_id, array_to_string(list_filter([
       case when not coalesce(regexp_matches(question_id, '^lec-q-\d{3}$'), false) then 'question_id_pattern' end,
       case when not coalesce(length(question) between 10 and 200, false) then 'question_length' end,
