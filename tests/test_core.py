@@ -379,6 +379,69 @@ def test_missing_is_not_null(spark):
     assert (b["present"], b["missing"], b["empty"], b["wrong_type"], b["types"]) == (4, 1, 2, 2, "array,null,object")
 
 
+def test_contract_keywords(spark):
+    c = contracts
+    data = [('{"a": 1, "b": "x"}', "2026-01-05T14:40:10Z", [1]), ('{"a": "1", "z": 2}', "2026-01-05", [1, 2, 3]), ('{"a": 1.5, "b": null}', None, None), ("no json", "2026-02-30T00:00:00Z", [])]
+    df = spark.createDataFrame(data, "j string, t string, l array<int>")
+    rules = {"integer": c.kind("j", "$.a", "integer"), "number": c.kind("j", "$.a", "number"), "text": c.kind("j", "$.b", "string", "null"), "only": c.no_others("j", "a", "b"), "time": c.date_time("t"), "const": c.const("t", "2026-01-05"), "most": c.items("l", 0, most=2)} | c.each("l", {"small": lambda x: x < 3})
+    assert [r[0] for r in df.select(c.broken(rules)).collect()] == ["const", "integer,number,text,only,time,most,l.small", "integer,time,const,most", "integer,number,text,only,time,const"]
+    ok = c.require(df.limit(1), {"time": c.date_time("t")}, "j")
+    assert ok.count() == 1
+    with pytest.raises(Exception, match="breaks time"):
+        c.require(df, {"time": c.date_time("t")}, "j").collect()
+
+
+def test_strict_records(spark):
+    from timbrel.functions import records as r
+
+    assert [one(spark, r.strict_boolean(F.lit(x))) for x in (" True", "FALSE\n")] == [True, False]
+    for bad in ("yes", "", None):
+        with pytest.raises(Exception, match="no boolean"):
+            one(spark, r.strict_boolean(F.lit(bad).cast("string")))
+    assert [one(spark, r.whole_number(F.lit(x).cast("string"))) for x in (" 12 ", "-3", "1.0", "", None, "9" * 30)] == [12, -3, None, None, None, None]
+    assert one(spark, r.first_present(F.lit(""), F.lit(None).cast("string"), F.lit("x"))) == "x"
+    assert one(spark, r.canonical_json(b=F.lit("é\n"), a=F.lit(None).cast("int"))) == '{"a":null,"b":"é\\n"}'
+    assert [one(spark, r.short_status(F.lit(n), F.lit(d).cast("int"))) for n, d in ((5000, None), (10, 0), (4000, 600), (900, 601), (900, 600))] == ["not_short", "manual_review_missing_duration", "likely_valid_short_video", "possible_incomplete", "manual_review"]
+
+
+def test_rounding_is_that_of_the_exact_value(spark):
+    from timbrel.functions import records as r
+
+    rnd = random.Random(12)
+    xs = [2.675, 1.0005, 0.5, 1.5, 2.5, -2.5, -0.125, 0.125, 1e-9, 0.0, 123456.7895, float("nan"), float("inf"), 1e300, None, 0.285, 4.35] + [round(rnd.uniform(-1000, 1000), rnd.choice([3, 4, 5])) for _ in range(3000)] + [rnd.randrange(1, 9999) / rnd.randrange(1, 999) for _ in range(2000)]
+    for places in (0, 2, 3):
+        got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", r.round_half_even("x", places).alias("y")).collect()
+        for x, y in got:
+            assert y == (None if x is None else round(x, places) if abs(x) < 1e9 else x) or x != x and y != y
+
+
+def test_courses_of_any_shape(spark):
+    cases = {
+        "ABC 6.0001 Intro to Code, Fall 2016": ("6.0001", "Intro to Code"),
+        "abc RES-6-012 Probability View the complete course: x": ("RES.6-012", "Probability"),
+        "See ABC CMS.611 | Games, IAP 2014 rest": ("CMS.611", "Games"),
+        "ABC 21G.107 Lecture 3": ("21G.107", ""),
+        "6.0001 no school": ("unresolved", "unresolved"),
+        "ABC   18.06SC – Linear": ("18.06SC", "Linear"),
+    }
+    for t, want in cases.items():
+        got = one(spark, metadata.course({"title": F.lit(None).cast("string"), "description": F.lit(t)}, ["ABC"]))
+        assert (got["code"], got["name"]) == want and got["confidence"] == ("unresolved" if want[0] == "unresolved" else "high")
+    name, evidence = metadata.department_class(F.lit("6.0001"), F.lit("zoo"), {"6": "computing"}, {"z": ["zoo"]})
+    assert (one(spark, name), one(spark, evidence)) == ("computing", "department:6")
+    name, evidence = metadata.department_class(F.lit("21G.1"), F.lit("zoo"), {"6": "computing"}, {"z": ["zoo"]})
+    assert (one(spark, name), one(spark, evidence)) == ("z", "score:1")
+
+
+def test_one_to_one(spark):
+    a = spark.createDataFrame([("x",), ("y",), ("z",), ("w",), ("w",), (None,)], "k string")
+    b = spark.createDataFrame([("x", 1), ("y", 2), ("y", 3), ("w", 4), (None, 5)], "k string, n int")
+    assert {(r["k"], r["status"]) for r in keyed.match_exactly(a, b, ["k"]).collect()} == {("x", "ok"), ("y", "duplicate"), ("z", "missing"), ("w", "duplicate")}
+    with pytest.raises(ValueError, match="'y', 'duplicate'"):
+        keyed.join_exactly(a, b, ["k"])
+    assert rows(keyed.join_exactly(a.where("k = 'x'"), b, ["k"])) == [("x", 1)]
+
+
 # --- files
 
 

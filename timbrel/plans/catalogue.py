@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from timbrel.plans import chunked, deliveries, feeds, relational, textual
+from timbrel.plans import chunked, deliveries, feeds, records, relational, textual
 
-MODULES = [deliveries, relational, textual, chunked, feeds]
+MODULES = [deliveries, relational, textual, chunked, feeds, records]
 
 
 def queries() -> dict:
