@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timbrel.functions import metadata, profile
 from timbrel.functions.naming import spared
-from timbrel.functions.text import collapse, instant_micros, millis, strip
+from timbrel.functions.text import casefold, collapse, instant_micros, millis, strip
 from timbrel.operators import chunking, contracts, intervals, keyed, ranges, vectors
 from timbrel.operators.intervals import IntervalMap
 from timbrel.operators.messages import MessageStore
@@ -245,7 +245,7 @@ def test_profile_flags(spark):
     assert got["<b>x</b>"] == {"html_tag"} and got["a\r\nb"] >= {"carriage_return", "multiline"} and got["x​y"] == {"zero_width"}
     assert "double_space" in got["a  b"] and "replacement_character" in got["�"] and "no_break_space" in got[" x"] and "line_edge_whitespace" in got["a \nb"]
     assert df.where("t like 'def%'").first()["code_signals"] == 3
-    u = spark.createDataFrame([("é",), ("&copy x",), ("Straße",), (None,)], "t string").select(profile.is_nfc("t"), profile.has_entity("t"), profile.casefolded("t")).collect()
+    u = spark.createDataFrame([("é",), ("&copy x",), ("Straße",), (None,)], "t string").select(profile.is_nfc("t"), profile.has_entity("t"), casefold("t")).collect()
     assert [tuple(r) for r in u] == [(False, False, "é"), (True, True, "&copy x"), (True, False, "strasse"), (None, None, None)]
 
 
@@ -282,6 +282,11 @@ def test_nearest(spark):
         want = sorted(range(len(s)), key=lambda i: (-round(s[i], 9), i))[:4]
         have = [r["row"] for r in got.where(F.col("query") == q).orderBy("place").collect()]
         assert have == [i if i < 300 else 301 for i in want]
+    # the same where the queries are too many to be sent
+    vectors.QUERY_BLOCK_BYTES = 256
+    far = vectors.nearest(df, df.where("id % 50 = 0 and v is not null"), "id", "id", "v", "v", 4, parts=5, most_bytes=0)
+    vectors.QUERY_BLOCK_BYTES = 8 << 20
+    assert rows(far) == rows(got)
 
 
 def plain_ranges(counts, most, close=None):
@@ -454,6 +459,12 @@ def test_jsonl(spark, tmp_path):
     assert rows(jsonl.read_lenient(spark, str(p), "a string")) == [("1",), ("3",), (" é\r",)]
     with pytest.raises(ValueError, match="line 3"):
         jsonl.read_strict(spark, str(p), "a string")
+    raw = tmp_path / "raw.txt"
+    raw.write_bytes(b"a\xff\xfe\r\nb\n")
+    assert sorted(bytes(r["value"]) for r in jsonl.read_exact_lines(spark, str(raw)).collect()) == [b"a\xff\xfe\r", b"b"]
+    import hashlib
+
+    assert {r[0] for r in jsonl.with_source_hash(jsonl.read_exact_lines(spark, str(raw))).select("source_sha256").collect()} == {hashlib.sha256(x).hexdigest() for x in (b"a\xff\xfe\r", b"b")}
     out = str(tmp_path / "out")
     df = spark.createDataFrame([(2, None), (1, "é\"")], "n int, t string")
     jsonl.write_jsonl(df, out, ["n"])

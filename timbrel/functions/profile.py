@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from timbrel.functions.text import strip
 
-# Signals of program code, remarks that fill a whole caption, markup, characters that show nothing.
+# Signals of program code (code_signals counts them), remarks that fill a whole caption, markup, characters that show nothing.
 CODE_SIGNAL = r"(?i)\b(?:def|return|for|while|if|else|elif|class|import|lambda|print)\b|==|!=|<=|>=|\+=|-=|\*=|/="
 BRACKET_ONLY = r"\A(?U)\s*\[[^\]]+\]\s*\z"
 ROUND_ONLY = r"\A(?U)\s*\([^\)]+\)\s*\z"
@@ -21,21 +21,25 @@ ZERO_WIDTH = "[\u200b\u200c\u200d\ufeff]"
 
 
 @F.pandas_udf(T.BooleanType())
-def is_nfc(s: pd.Series) -> pd.Series:
-    """Whether the text is in composed form; null for null."""
+def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.is_normalized("NFC", t))
 
 
+def is_nfc(c: Column | str) -> Column:
+    """Whether the text is in composed form; null for null. Texts of letters below the first mark are, and don't leave the JVM."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.coalesce(_composed(F.when(c.rlike("[^\\x00-\\u02ff]"), c)), F.lit(True)))
+
+
 @F.pandas_udf(T.BooleanType())
-def has_entity(s: pd.Series) -> pd.Series:
-    """Whether unescaping HTML entities would change the text; null for null."""
+def _unescapes(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else html.unescape(t) != t)
 
 
-@F.pandas_udf(T.StringType())
-def casefolded(s: pd.Series) -> pd.Series:
-    """Full case folding ('ß' to 'ss'), which lower() lacks; null for null."""
-    return s.map(lambda t: None if t is None else t.casefold())
+def has_entity(c: Column | str) -> Column:
+    """Whether unescaping HTML entities would change the text; null for null. Only texts with an ampersand leave the JVM."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.coalesce(_unescapes(F.when(F.contains(c, F.lit("&")), c)), F.lit(False)))
 
 
 def edge_blanks(c: Column | str) -> Column:
@@ -44,20 +48,21 @@ def edge_blanks(c: Column | str) -> Column:
     return F.exists(lines, lambda x: x != strip(x))
 
 
-def text_flags(c: str) -> dict[str, Column]:
+def text_flags(c: Column | str) -> dict[str, Column]:
     """Named counters of one text that isn't blank; each is summed over the texts of a payload."""
+    c = F.col(c) if isinstance(c, str) else c
     flag = {
-        "edge_whitespace": F.col(c) != strip(c),
-        "multiline": F.col(c).rlike(r"[\n\r]"),
+        "edge_whitespace": c != strip(c),
+        "multiline": c.rlike(r"[\n\r]"),
         "carriage_return": F.contains(c, F.lit("\r")),
         "tab": F.contains(c, F.lit("\t")),
         "no_break_space": F.contains(c, F.lit("\u00a0")),
-        "zero_width": F.col(c).rlike(ZERO_WIDTH),
+        "zero_width": c.rlike(ZERO_WIDTH),
         "replacement_character": F.contains(c, F.lit("\ufffd")),
         "double_space": F.contains(c, F.lit("  ")),
         "line_edge_whitespace": edge_blanks(c),
-        "bracket_only": F.col(c).rlike(BRACKET_ONLY),
-        "round_only": F.col(c).rlike(ROUND_ONLY),
-        "html_tag": F.col(c).rlike(TAG),
+        "bracket_only": c.rlike(BRACKET_ONLY),
+        "round_only": c.rlike(ROUND_ONLY),
+        "html_tag": c.rlike(TAG),
     }
     return {k: v.cast("int") for k, v in flag.items()} | {"code_signals": F.regexp_count(c, F.lit(CODE_SIGNAL))}

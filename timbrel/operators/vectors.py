@@ -1,8 +1,10 @@
 """Nearest vectors by cosine, in blocks.
 
 Queries and rows are packed into blocks of bounded size; every row block meets every query block
-once, by a join on block numbers, and one matrix product scores it. Each meeting keeps the best k of
-its own block, and a partial aggregation picks the best k of all. No side is collected or broadcast.
+once, and one matrix product scores it. Query blocks are sent to all tasks if their size is checked
+to be small, so that rows stay where they are; beyond that the blocks meet by a join on both block
+numbers, whose keys are as many as the meetings. Each meeting keeps the best k of its own block, and
+the best k of all are picked from those by a limit per query that starts in each task.
 """
 
 from __future__ import annotations
@@ -15,7 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from timbrel.session import ship
+
 BLOCK = 2048
+#: Vectors of queries that go to all tasks at most, and those in one block.
+MOST_BYTES, QUERY_BLOCK_BYTES = 64 << 20, 8 << 20
 
 
 def unit(v: str):
@@ -51,16 +57,26 @@ def _blocks(df: DataFrame, id_column: str, vector: str, n: int) -> DataFrame:
     return x.mapInArrow(run, f"block bigint, ids array<{kind}>, flat binary")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, row_vector: str, query_vector: str, k: int, parts: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, row_vector: str, query_vector: str, k: int, parts: int | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(query, place, row, score): the k rows of highest cosine for each query, ties by row id.
 
     Null vectors take part in nothing; all vectors have one length. A row may be its own neighbour.
     """
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = _blocks(queries, query_id, query_vector, max(1, n // 4)).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
-    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, n // 4) - 1).cast("bigint")))
-    r = _blocks(rows, row_id, row_vector, n).withColumn("q_block", numbers)
-    met = r.join(q, "q_block").select("ids", "flat", "q_ids", "q_flat")
+    spark = rows.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship(spark)
+    wanted = queries.where(F.col(query_vector).isNotNull())
+    size = wanted.agg(F.sum(F.size(query_vector)).cast("bigint") * 8).first()[0] or 0
+    few = max(1, -(-size // QUERY_BLOCK_BYTES))
+    q = _blocks(queries, query_id, query_vector, few).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
+    r = _blocks(rows, row_id, row_vector, n)
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
+    r = r.withColumn("q_block", each(few))
+    if size <= most_bytes:
+        met = r.join(F.broadcast(q), "q_block")
+    else:
+        met = r.join(q.withColumn("block", each(n)), ["block", "q_block"])
+    met = met.select("ids", "flat", "q_ids", "q_flat")
     row_kind, query_kind = rows.schema[row_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,5 +91,6 @@ def nearest(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, row
                 yield pa.record_batch([q_ids.values.take(pa.array(a)), ids.values.take(pa.array(c)), pa.array(s[a, c])], names=["query", "row", "score"])
 
     scored = met.mapInArrow(run, f"query {query_kind}, row {row_kind}, score double")
+    # row_number with a bound keeps k rows of a query in each task before the shuffle
     w = W.partitionBy("query").orderBy(F.desc("score"), "row")
     return scored.withColumn("score", F.round("score", 9)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query", "place", "row", "score")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.functions import metadata, profile
-from timbrel.functions.text import collapse, instant_micros, millis, strip
+from timbrel.functions.text import casefold, collapse, instant_micros, millis, strip
 from timbrel.session import table
 
 SCHOOLS = ["ALC", "QRS", "NTU-X"]
@@ -28,7 +28,7 @@ def segment_text_profile(s: SparkSession, d: str) -> DataFrame:
 
 def unicode_profile(s: SparkSession, d: str) -> DataFrame:
     """Captions not in composed form, and captions whose text an HTML parser would change."""
-    x = _segments(s, d).where("text is not null").select("raw_id", profile.is_nfc("text").alias("nfc"), profile.has_entity("text").alias("entity"), (profile.casefolded("text") != F.lower("text")).alias("folds"))
+    x = _segments(s, d).where("text is not null").select("raw_id", profile.is_nfc("text").alias("nfc"), profile.has_entity("text").alias("entity"), (casefold("text") != F.lower("text")).alias("folds"))
     return x.groupBy("raw_id").agg(F.count_if(~F.col("nfc")).alias("not_composed"), F.count_if("entity").alias("with_entity"), F.count_if("folds").alias("folds_beyond_lower"))
 
 
@@ -56,12 +56,17 @@ def segment_timing_profile(s: SparkSession, d: str) -> DataFrame:
 
 
 def adjacent_captions(s: SparkSession, d: str) -> DataFrame:
-    """Neighbouring captions that repeat: exactly, but for case and spacing, or one within the other."""
-    x = _segments(s, d).select("raw_id", "idx", strip("text").alias("a"), F.lower(collapse("text")).alias("n")).where("a <> ''")
-    w = W.partitionBy("raw_id").orderBy("idx")
-    y = x.select("raw_id", "a", "n", F.lag("a").over(w).alias("pa"), F.lag("n").over(w).alias("pn")).where("pa is not null")
-    inside = (F.col("n") != F.col("pn")) & (F.contains("n", "pn") | F.contains("pn", "n"))
-    return y.groupBy("raw_id").agg(F.count_if(F.col("a") == F.col("pa")).alias("exact"), F.count_if((F.col("n") == F.col("pn")) & (F.col("a") != F.col("pa"))).alias("normalised"), F.count_if(inside).alias("contained"))
+    """Neighbouring captions that repeat: exactly, but for case and spacing, or one within the other.
+
+    Neighbours are zipped within the payload's own array: no text is shuffled.
+    """
+    said = F.transform("segments", lambda x: F.struct(strip(x["text"]).alias("a"), casefold(collapse(x["text"])).alias("n")))
+    x = table(s, d, "transcripts_raw").select("raw_id", F.filter(said, lambda x: x["a"] != "").alias("said")).where("size(said) > 1")
+    n = F.size("said") - 1
+    pair = lambda p, q: F.struct((p["a"] == q["a"]).alias("exact"), (p["n"] == q["n"]).alias("same"), (F.contains(p["n"], q["n"]) | F.contains(q["n"], p["n"])).alias("inside"))
+    y = x.select("raw_id", F.zip_with(F.slice("said", 1, n), F.slice("said", 2, n), pair).alias("pairs"))
+    count = lambda test: F.size(F.filter("pairs", test)).cast("bigint")
+    return y.select("raw_id", count(lambda p: p["exact"]).alias("exact"), count(lambda p: p["same"] & ~p["exact"]).alias("normalised"), count(lambda p: p["inside"] & ~p["same"]).alias("contained"))
 
 
 def joined_texts(s: SparkSession, d: str) -> DataFrame:
@@ -141,6 +146,8 @@ def _collapse(x: str) -> str:
     return f"trim(regexp_replace(coalesce({x}, ''), '{_WS}+', ' ', 'g'))"
 
 
+#: Letters whose folding isn't their small letter, those that captions have.
+_BEYOND = r"\x{b5}\x{df}\x{149}\x{17f}\x{3c2}\x{1e9e}\x{fb00}-\x{fb06}\x{fb13}-\x{fb17}"
 _SEG = "seg as (select raw_id, generate_subscripts(segments, 1) - 1 as idx, unnest(segments) as s from transcripts_raw)"
 
 
@@ -163,7 +170,7 @@ def _flags() -> str:
     parts = [f"cast(sum(case when not blank and ({c}) then 1 else 0 end) as bigint) as {k}" for k, c in conds.items()]
     # DuckDB's word boundary knows ASCII letters only: other letters become one
     t = f"regexp_replace({t}, '[\\x{{aa}}\\x{{b5}}\\x{{ba}}\\x{{c0}}-\\x{{d6}}\\x{{d8}}-\\x{{f6}}\\x{{f8}}-\\x{{52f}}\\x{{1e00}}-\\x{{1fff}}\\x{{3041}}-\\x{{9fff}}\\x{{fb00}}-\\x{{fb06}}\\x{{ff21}}-\\x{{ff3a}}\\x{{ff41}}-\\x{{ff5a}}\\x{{ff66}}-\\x{{ff9d}}]', 'Z', 'g')"
-    parts.append(f"cast(sum(case when blank then 0 else len(regexp_extract_all({t}, '(?i)\\b(?:def|return|for|while|if|else|elif|class|import|lambda|print)\\b|==|!=|<=|>=|\\+=|-=|\\*=|/=')) end) as bigint) as code_signals")
+    parts.append(f"cast(sum(case when blank then 0 else len(regexp_extract_all({t}, '{profile.CODE_SIGNAL}')) end) as bigint) as code_signals")
     return ", ".join(parts)
 
 
@@ -196,7 +203,9 @@ SQL = {
       q as (select raw_id, count(*) filter (a < pa) as o, count(*) filter (a < pe) as p, max(a + n) as e from v group by 1)
       select m.raw_id, cast(count(*) filter (coalesce(a < 0, true)) as int) as invalid_start, cast(count(*) filter (a >= 0 and coalesce(n <= 0, true)) as int) as nonpositive_duration,
         cast(coalesce(any_value(o), 0) as int) as out_of_order, cast(coalesce(any_value(p), 0) as int) as overlapping, coalesce(any_value(e), 0) as max_end_ms from m left join q on q.raw_id = m.raw_id group by 1""",
-    "adjacent_captions": f"""with {_SEG}, x as (select raw_id, idx, {_strip('s.text')} as a, lower({_collapse('s.text')}) as n from seg), y as (select *, lag(a) over w as pa, lag(n) over w as pn from x where a <> '' window w as (partition by raw_id order by idx))
+    "unicode_profile": f"""with {_SEG} select raw_id, count(*) filter (nfc_normalize(s.text) <> s.text) as not_composed, count(*) filter (regexp_matches(s.text, '&(#\\d+|#[xX][0-9a-fA-F]+|[a-zA-Z]+;|amp|lt|gt|quot|nbsp|copy|reg)')) as with_entity,
+      count(*) filter (regexp_matches(s.text, '[{_BEYOND}]')) as folds_beyond_lower from seg where s.text is not null group by 1""",
+    "adjacent_captions": f"""with {_SEG}, x as (select raw_id, idx, {_strip('s.text')} as a, replace(lower({_collapse('s.text')}), 'ß', 'ss') as n from seg), y as (select *, lag(a) over w as pa, lag(n) over w as pn from x where a <> '' window w as (partition by raw_id order by idx))
       select raw_id, count(*) filter (a = pa) as exact, count(*) filter (n = pn and a <> pa) as normalised, count(*) filter (n <> pn and (contains(n, pn) or contains(pn, n))) as contained from y where pa is not null group by 1""",
     "joined_texts": f"""select raw_id, cast(length(array_to_string(list_transform(segments, lambda x: x.text), chr(10))) as int) as raw_length,
       cast(length(array_to_string(list_filter(list_transform(segments, lambda x: {_strip('x.text')}), lambda x: x <> ''), chr(10))) as int) as clean_length,

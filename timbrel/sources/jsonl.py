@@ -31,18 +31,24 @@ def read_lenient(spark: SparkSession, path: str, schema: StructType | str) -> Da
 
 
 def read_strict(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Records of all lines; a line that is no JSON raises an error with its file and number."""
-    lines = read_numbered_lines(spark, path)
+    """Records of all lines; a line that is no JSON raises an error with its file and number. Lines are numbered only if there is one."""
     bad = F.try_parse_json("value").isNull()
-    first = lines.where(bad).orderBy("file", "line").select("file", "line").limit(1).collect()
-    if first:
-        raise ValueError(f"{first[0]['file']}, line {first[0]['line']}: not JSON")
+    lines = read_lines(spark, path)
+    if not lines.where(bad).isEmpty():
+        first = read_numbered_lines(spark, path).where(bad).orderBy("file", "line").select("file", "line").first()
+        raise ValueError(f"{first['file']}, line {first['line']}: not JSON")
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
+def read_exact_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value binary): the bytes of each line as they are, split at line feeds, invalid UTF-8 and carriage returns included."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+
+
 def with_source_hash(lines: DataFrame) -> DataFrame:
     """Lines with the SHA-256 of their bytes."""
-    return lines.withColumn("source_sha256", F.sha2(F.encode("value", "UTF-8"), 256))
+    return lines.withColumn("source_sha256", F.sha2(F.col("value").cast("binary"), 256))
 
 
 def count_lines(spark: SparkSession, path: str) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,16 +63,28 @@ PART_MS = 3_600_000
 
 
 def _grow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else ([], [])
-    m, net = IntervalMap(list(held[0]), list(held[1])), Counter()
-    for f in frames:
-        for a, b in zip(f["start_ms"].tolist(), f["end_ms"].tolist()):
-            for kind, lo, hi, sign in m.add(a, b):
-                net[kind, lo, hi] += sign
-    changes = [(key[0], key[1], *what, n) for what, n in net.items() if n]
-    if changes:
+    """One batch of a part's intervals into its map. What touches within the batch is merged at once; each period that is left is inserted."""
+    parts = [(f["start_ms"].to_numpy(), f["end_ms"].to_numpy()) for f in frames]
+    start, end = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    start, end = start[first], reach[np.append(first[1:], len(reach)) - 1]
+    if state.exists:
+        m, net = IntervalMap(*map(list, state.get)), Counter()
+        for lo, hi in zip(start.tolist(), end.tolist()):
+            for kind, x, y, sign in m.add(lo, hi):
+                net[kind, x, y] += sign
+        changes = np.array([(*what, n) for what, n in net.items() if n], np.int64).reshape(-1, 4)
         state.update((m.starts, m.ends))
-        yield pd.DataFrame(changes, columns=["entity", "part", "kind", "start_ms", "end_ms", "sign"])
+    else:
+        changes = np.ones((2 * len(start) - 1, 4), np.int64)
+        changes[: len(start), :3] = np.stack([np.zeros(len(start), np.int64), start, end], 1)
+        changes[len(start) :, 1:3] = np.stack([end[:-1], start[1:]], 1)
+        state.update((start.tolist(), end.tolist()))
+    if len(changes):
+        kind, lo, hi, sign = changes.T
+        yield pd.DataFrame({"entity": [key[0]] * len(kind), "part": key[1], "kind": kind, "start_ms": lo, "end_ms": hi, "sign": sign})
 
 
 def interval_changes(intervals: DataFrame, part_ms: int = PART_MS) -> DataFrame:
