@@ -64,27 +64,30 @@ PART_MS = 3_600_000
 
 def _grow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One batch of a part's intervals into its map. What touches within the batch is merged at once; each period that is left is inserted."""
-    parts = [(f["start_ms"].to_numpy(), f["end_ms"].to_numpy()) for f in frames]
-    start, end = (np.concatenate(x) for x in zip(*parts))
+    start, end = np.concatenate([f.to_numpy()[:, -2:] for f in frames]).astype(np.int64).T
     order = np.argsort(start, kind="stable")
     start, reach = start[order], np.maximum.accumulate(end[order])
     first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
     start, end = start[first], reach[np.append(first[1:], len(reach)) - 1]
     if state.exists:
-        m, net = IntervalMap(*map(list, state.get)), Counter()
+        m, net = IntervalMap(*(np.frombuffer(x, np.int64).tolist() for x in state.get)), Counter()
         for lo, hi in zip(start.tolist(), end.tolist()):
             for kind, x, y, sign in m.add(lo, hi):
                 net[kind, x, y] += sign
-        changes = np.array([(*what, n) for what, n in net.items() if n], np.int64).reshape(-1, 4)
-        state.update((m.starts, m.ends))
+        changes = np.array([(key[1], *what, n) for what, n in net.items() if n], np.int64).reshape(-1, 5)
+        start, end = np.array(m.starts, np.int64), np.array(m.ends, np.int64)
     else:
-        changes = np.ones((2 * len(start) - 1, 4), np.int64)
-        changes[: len(start), :3] = np.stack([np.zeros(len(start), np.int64), start, end], 1)
-        changes[len(start) :, 1:3] = np.stack([end[:-1], start[1:]], 1)
-        state.update((start.tolist(), end.tolist()))
+        n = len(start)
+        changes = np.ones((2 * n - 1, 5), np.int64)
+        changes[:, 0] = key[1]
+        changes[:n, 1], changes[:n, 2], changes[:n, 3] = 0, start, end
+        changes[n:, 2], changes[n:, 3] = end[:-1], start[1:]
     if len(changes):
-        kind, lo, hi, sign = changes.T
-        yield pd.DataFrame({"entity": [key[0]] * len(kind), "part": key[1], "kind": kind, "start_ms": lo, "end_ms": hi, "sign": sign})
+        # the arrays as bytes: one value each for the state store
+        state.update((start.tobytes(), end.tobytes()))
+        out = pd.DataFrame(changes, columns=["part", "kind", "start_ms", "end_ms", "sign"])
+        out.insert(0, "entity", key[0])
+        yield out
 
 
 def interval_changes(intervals: DataFrame, part_ms: int = PART_MS) -> DataFrame:
@@ -96,9 +99,9 @@ def interval_changes(intervals: DataFrame, part_ms: int = PART_MS) -> DataFrame:
     """
     kind = intervals.schema["entity"].dataType.simpleString()
     ship(intervals.sparkSession)
-    rows = intervals.where("end_ms > start_ms").select("entity", F.floor(F.col("start_ms") / part_ms).alias("part"), "start_ms", "end_ms")
-    out = f"entity {kind}, part bigint, kind int, start_ms bigint, end_ms bigint, sign int"
-    return rows.groupBy("entity", "part").applyInPandasWithState(_grow, out, "starts array<bigint>, ends array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    rows = intervals.where("end_ms > start_ms").select("entity", F.floor(F.col("start_ms") / part_ms).alias("part"), F.col("start_ms").cast("bigint"), F.col("end_ms").cast("bigint"))
+    out = f"entity {kind}, part bigint, kind bigint, start_ms bigint, end_ms bigint, sign bigint"
+    return rows.groupBy("entity", "part").applyInPandasWithState(_grow, out, "starts binary, ends binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def keyed_state(spark: SparkSession, stream: DataFrame, part_ms: int = PART_MS) -> DataFrame:
@@ -106,7 +109,7 @@ def keyed_state(spark: SparkSession, stream: DataFrame, part_ms: int = PART_MS)
     out = shared_path(spark, "changes")
     run_to_table(interval_changes(stream, part_ms), out, "append")
     kind = stream.schema["entity"].dataType.simpleString()
-    changes = spark.read.schema(f"entity {kind}, part bigint, kind int, start_ms bigint, end_ms bigint, sign int").option("recursiveFileLookup", True).parquet(f"{out}/data")
+    changes = spark.read.schema(f"entity {kind}, part bigint, kind bigint, start_ms bigint, end_ms bigint, sign bigint").option("recursiveFileLookup", True).parquet(f"{out}/data")
     # a period or gap that a later batch has replaced adds up to nothing
     held = changes.groupBy("entity", "part", "kind", "start_ms", "end_ms").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
     return kept(held, "maps")
