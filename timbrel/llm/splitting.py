@@ -27,7 +27,7 @@ LIMIT, OVERLAP, BLOCK = 240, 48, 60
 #: How many tokens away the heights beside a valley are looked for.
 REACH = 120
 #: Tokens whose cohesion is measured at a time; bounds the memory of very long texts.
-STRIP = 8192
+STRIP = 1024
 #: How much deeper a valley counts at a word, clause, line and sentence end; depths lie between 0 and 2.
 PAUSE = (0.0, 0.4, 0.75, 1.0)
 # What ends a sentence, a clause, and what may close after an end.
@@ -85,8 +85,7 @@ def pauses(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def depths(cps: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Depth of the cohesion valley before each token: how far the greatest heights within REACH on both sides are above it.
 
-    The cosine of two blocks is a sum over pairs of equal words; pairs at one distance are counted for
-    all places at once by a running sum, so words are compared exactly.
+    Words are counted exactly, STRIP places at a time.
     """
     n = len(start)
     folded, rows = C.form(True).apply(cps, np.concatenate([np.stack([start, end], 1).ravel(), [len(cps)]]))
@@ -106,27 +105,23 @@ def depths(cps: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = BLO
 
 
 def _cosines(word: np.ndarray, square: np.ndarray, block: int) -> np.ndarray:
-    """Cosine of the words in the blocks before and from each place."""
+    """Cosine of the words in the blocks before and from each place; only words that come again need counters of their own."""
     n = len(word)
+    _, column, uses = np.unique(word, return_inverse=True, return_counts=True)
+    again = uses > 1
+    column = (np.cumsum(again) - 1)[column] + np.where(again[column], 0, -n - 1)
+    shared = np.flatnonzero(column >= 0)
+    counts = np.zeros((n + 1, int(again.sum())), np.float32)
+    counts[shared + 1, column[shared]] = 1
+    np.cumsum(counts, axis=0, out=counts)
+    weight = np.zeros(counts.shape[1])
+    weight[column[shared]] = square[shared]
+    alone = np.concatenate([[0.0], np.cumsum(np.where(column >= 0, 0.0, square))])
     place = np.arange(n)
-    dot, inner = np.zeros(n), np.concatenate([[0.0], np.cumsum(square)])
-    size = inner[np.minimum(place + block, n)] - inner[place]  # of the block from each place
-    for d in range(1, min(2 * block, n)):
-        same = np.where(word[d:] == word[:-d], square[:-d], 0.0)
-        run = np.concatenate([[0.0], np.cumsum(same)])
-        last = len(same)
-        if d < block:
-            size += 2 * (run[np.clip(place + block - d, 0, last)] - run[np.minimum(place, last)])
-        # pairs (i, i + d) with i in the block before and i + d in the block from the place
-        first, stop = np.maximum(place - min(d, block), 0), place + min(0, block - d)
-        dot += np.where(stop > first, run[np.clip(stop, 0, last)] - run[np.minimum(first, last)], 0.0)
-    before = size[np.maximum(place - block, 0)]
-    short = place < block  # the block before is cut off by the beginning
-    if short.any():
-        for p in place[short].tolist():
-            w, s = word[:p], square[:p]
-            before[p] = ((w[:, None] == w[None, :]) * s).sum() if p else 0.0
-    return dot / np.sqrt(np.maximum(before * size, 1e-12))
+    lo, hi = np.maximum(place - block, 0), np.minimum(place + block, n)
+    before, after = counts[place] - counts[lo], counts[hi] - counts[place]
+    size = [(x * x) @ weight + alone[b] - alone[a] for x, a, b in ((before, lo, place), (after, place, hi))]
+    return (before * after) @ weight / np.sqrt(np.maximum(size[0] * size[1], 1e-12))
 
 
 def _peak(score: np.ndarray) -> np.ndarray:
