@@ -15,7 +15,7 @@ from timbrel.operators.intervals import IntervalMap
 from timbrel.operators.messages import MessageStore
 from timbrel.session import shared_path
 from timbrel.sources import jsonl, tabular
-from timbrel.sources.pages import LandedPages
+from timbrel.sources.pages import read_pages
 from timbrel.streaming import state
 
 
@@ -501,8 +501,22 @@ def test_tabular(spark, tmp_path):
 
 
 def test_landed_pages(spark, tmp_path):
-    (tmp_path / "p1.json").write_text('{"items": [{"id": "a"}, {"id": "b"}], "nextPageToken": "x"}')
+    (tmp_path / "p1.json").write_text('{"items": [{"id": "a"},\n {"id": "b"}], "nextPageToken": "x"}')
     (tmp_path / "p2.json").write_text('{"items": []}')
-    spark.dataSource.register(LandedPages)
-    got = spark.read.format("landed_pages").load(str(tmp_path))
-    assert rows(got) == [("p1.json", 0, '{"id": "a"}'), ("p1.json", 1, '{"id": "b"}')]
+    (tmp_path / "p3.json").write_text("no json")
+    got = read_pages(spark, str(tmp_path), one_a_file=True)
+    assert rows(got.select("token", "position", "item")) == [("x", 0, '{"id":"a"}'), ("x", 1, '{"id":"b"}')]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.jsonl").write_text('{"items": [1, "t"]}\n{"items": [{"z": null}]}\n')
+    assert rows(read_pages(spark, str(tmp_path / "lines")).select("position", "item")) == [(0, "1"), (0, '{"z":null}'), (1, '"t"')]
+
+
+def test_jdbc_in_ranges(spark):
+    """Against the small database that ships with Spark, in memory."""
+    url = "jdbc:derby:memory:t;create=true"
+    try:
+        spark.range(100).select(F.col("id").cast("int").alias("n")).write.jdbc(url, "t", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    except Exception as e:
+        pytest.skip(f"no database here: {str(e)[:80]}")
+    got = tabular.read_jdbc(spark, url, "t", "n", 0, 100, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 4 and [r[0] for r in got.orderBy("n").collect()] == list(range(100))

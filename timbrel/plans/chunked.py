@@ -185,14 +185,14 @@ def evidence(s: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_quality(s: SparkSession, d: str) -> DataFrame:
-    """Recall at 5 and mean reciprocal rank of the evidence, over approved answerable questions with known ranges."""
+    """Over approved answerable questions with known ranges: recall at 5, mean reciprocal rank, how often the first window cited is right, and how many windows are read before one is."""
     q = table(s, d, "eval_questions").where("answerable and review_status = 'approved' and size(relevant_time_ranges) > 0").select("question_id", "relevant_time_ranges")
     told = q.select("question_id", F.explode("relevant_time_ranges").alias("r"))
     e = evidence(s, d).where("place is not null").select(F.col("question_id").alias("qid"), "place", "video_id", "start_ms", "end_ms")
     hit = told.join(e, (F.col("question_id") == F.col("qid")) & (F.col("r.video_id") == F.col("video_id")) & (F.col("r.start_second") * 1000 < F.col("end_ms")) & (F.col("r.end_second") * 1000 > F.col("start_ms")), "inner")
     first = hit.groupBy("question_id").agg(F.min("place").alias("place"))
     all_ = q.select("question_id").join(first, "question_id", "left")
-    return all_.agg(F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("place").isNotNull(), 1.0).otherwise(0.0)), 6).alias("recall_at_5"), F.round(F.avg(F.coalesce(1.0 / F.col("place"), F.lit(0.0))), 6).alias("mrr"))
+    return all_.agg(F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("place").isNotNull(), 1.0).otherwise(0.0)), 6).alias("recall_at_5"), F.round(F.avg(F.coalesce(1.0 / F.col("place"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("place") == 1, 1.0).otherwise(0.0)), 6).alias("citation_correct"), F.round(F.avg(F.coalesce("place", F.lit(5))), 6).alias("windows_read"))
 
 
 QUERIES = {f.__name__: f for f in (silver_records, silver_validation, question_contract, document_fields, fixed_chunks, overlapping_chunks, chunk_records, cohesive_chunks, chunk_summary, answer_ranges, nearest_vectors, neighbour_likeness, evidence, retrieval_quality)}

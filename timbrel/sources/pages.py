@@ -1,45 +1,17 @@
-"""A Python data source for paged API answers that have landed as files, one partition a page."""
+"""Paged API answers that have landed as files: one answer a line, or one a file, each with its items."""
 
 from __future__ import annotations
 
-import glob
-import json
-import os
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+def read_pages(spark: SparkSession, path: str, one_a_file: bool = False, items: str = "items") -> DataFrame:
+    """(file, page, token, position, item): the items of every answer as JSON text, with the answer's place and next page token.
 
-class _Page(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Page(p) for p in sorted(glob.glob(os.path.join(self.folder, "*.json")))] or [_Page("")]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        with open(partition.path, encoding="utf-8") as f:
-            page = json.load(f)
-        for i, item in enumerate(page.get("items", [])):
-            yield os.path.basename(partition.path), i, json.dumps(item, ensure_ascii=False)
-
-
-class LandedPages(DataSource):
-    """spark.dataSource.register(LandedPages); spark.read.format('landed_pages').load(folder)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "landed_pages"
-
-    def schema(self) -> str:
-        return "page string, position int, item string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+    Read by Spark from any file system. page tells the answers of a file apart, in their order; an answer without items has none, one that isn't JSON has none either.
+    """
+    text = spark.read.text(path, wholetext=one_a_file, lineSep=None if one_a_file else "\n")
+    x = text.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("page"), F.try_parse_json("value").alias("t"))
+    x = x.select("file", "page", F.try_variant_get("t", "$.nextPageToken", "string").alias("token"), F.posexplode(F.try_variant_get("t", f"$.{items}", "array<variant>")).alias("position", "item"))
+    return x.withColumn("item", F.to_json("item"))
