@@ -236,6 +236,12 @@ SQL = {
       select question_id, broken from q where broken <> ''""",
     "fixed_chunks": f"with recursive {_SEG}, {_WALK} select raw_id, cast(k as int) as chunk_index, cast(s as int) as first_segment, cast(e as int) as last_segment, cast(t as bigint) as tokens from r",
     "overlapping_chunks": f"with recursive {_SEG}, {_WALK}, {_MOVED} select raw_id, cast(k as int) as chunk_index, cast(s as int) as first_segment, cast(e as int) as last_segment, cast(t as bigint) as tokens from y",
+    "chunk_records": f"""with recursive {_SEG}, {_WALK}, {_MOVED},
+      z as (select y.*, segments[s + 1:e + 1] as part from y join transcripts_raw r on r.raw_id = y.raw_id),
+      m as (select raw_id, cast(k as int) as chunk_index, cast(s as int) as first_segment, cast(e as int) as last_segment, cast(t as bigint) as tokens, cast(len(part) as int) as segment_count, array_to_string(list_transform(part, lambda x: coalesce(x.text, '')), chr(10)) as chunk_text,
+        cast(round(part[1].start * 1000) as bigint) as start_ms, cast(round(part[-1].start * 1000) as bigint) + cast(round(part[-1].duration * 1000) as bigint) as end_ms from z)
+      select *, raw_id || ':fixed_240_o48:' || chunk_index as chunk_id, cast(length(chunk_text) as int) as chunk_length,
+        sha256('{{"chunk_text":' || to_json(chunk_text) || ',"config":"fixed_240_o48","end_ms":' || coalesce(cast(end_ms as varchar), 'null') || ',"first_segment":' || first_segment || ',"last_segment":' || last_segment || ',"record":' || raw_id || ',"start_ms":' || coalesce(cast(start_ms as varchar), 'null') || '}}') as content_sha256 from m""",
     "answer_ranges": f"""with t as (select transcript_id, {_strip('video_id')} as video_id from transcripts), q as (select question_id, unnest(relevant_time_ranges) as r from eval_questions)
       select question_id, chunk_id, round(max(least(end_second, r.end_second) - greatest(start_second, r.start_second)), 3) as seconds from chunks c join t on t.transcript_id = c.transcript_id join q on q.r.video_id = t.video_id
       where end_second > start_second and r.end_second > r.start_second and start_second < r.end_second and end_second > r.start_second group by 1, 2""",
