@@ -106,10 +106,12 @@ def interval_changes(intervals: DataFrame, part_ms: int = PART_MS) -> DataFrame:
 
 def keyed_state(spark: SparkSession, stream: DataFrame, part_ms: int = PART_MS) -> DataFrame:
     """Run the stream over all that is there; the contents of its interval maps, as `intervals.gaps`, `coverage` and `periods` take them."""
-    out = shared_path(spark, "changes")
+    out, kind = shared_path(spark, "changes"), stream.schema["entity"].dataType.simpleString()
+    schema = f"entity {kind}, part bigint, kind bigint, start_ms bigint, end_ms bigint, sign bigint"
+    # a stream without files has no batch
+    spark.createDataFrame([], schema).write.parquet(f"{out}/data/n=none")
     run_to_table(interval_changes(stream, part_ms), out, "append")
-    kind = stream.schema["entity"].dataType.simpleString()
-    changes = spark.read.schema(f"entity {kind}, part bigint, kind bigint, start_ms bigint, end_ms bigint, sign bigint").option("recursiveFileLookup", True).parquet(f"{out}/data")
+    changes = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
     # a period or gap that a later batch has replaced adds up to nothing
     held = changes.groupBy("entity", "part", "kind", "start_ms", "end_ms").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
     return kept(held, "maps")
