@@ -203,10 +203,18 @@ def props_profile(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").agg(F.count("*").alias("total_records"), F.count(v).alias("present_count"), F.count_if(v.isNull()).alias("missing_count"), F.count_if(whole.isNull()).alias("unreadable_count"), F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias("invalid_type_count"))
 
 
+#: Least and most approved questions of each category, and of all.
+TARGETS = {"factual": (20, 60), "conceptual": (20, 60), "procedural": (10, 40), "unanswerable": (10, 40), "all": (40, 160)}
+
+
 def questions_by_category(s: SparkSession, d: str) -> DataFrame:
-    """The evaluation set against a target range for each category."""
-    q = table(s, d, "eval_questions").where("review_status = 'approved'").groupBy("category").agg(F.count("*").alias("questions"), F.count_if("answerable").alias("answerable"))
-    return q.withColumn("in_target", F.col("questions").between(20, 60))
+    """The evaluation set against a target range for each category and for all; a category without a target, or without questions, isn't in range."""
+    q = table(s, d, "eval_questions").where("review_status = 'approved'").rollup("category").agg(F.count("*").alias("questions"), F.count_if("answerable").alias("answerable"), F.grouping("category").alias("g"))
+    q = q.select(F.when(F.col("g") == 1, "all").otherwise(F.col("category")).alias("category"), "questions", "answerable")
+    targets = s.createDataFrame([(k, *v) for k, v in TARGETS.items()], "category string, low int, high int")
+    out = q.join(targets, "category", "full")
+    n = F.coalesce("questions", F.lit(0))
+    return out.select("category", n.alias("questions"), F.coalesce("answerable", F.lit(0)).alias("answerable"), F.coalesce(n.between(F.col("low"), F.col("high")), F.lit(False)).alias("in_target"))
 
 
 QUERIES = {f.__name__: f for f in (year_summary, source_summary, transcript_detail, table_counts, videos_with_transcripts, delivered_without_video, videos_without_transcript, target_metadata, duplicate_videos, missing_fields, orphans, number_stats, most_viewed, insert_if_absent, insert_plan, id_set_relations, latest_event, history_and_latest, last_wins_pairs, first_seen_videos, source_labels, domain_share, common_language, length_bands, coverage, any_manual, batches_of_50, top_videos_by_source, chunk_contiguity, status_overview, props_profile, questions_by_category)}
@@ -251,5 +259,7 @@ SQL = {
     "chunk_contiguity": "select transcript_id, count(*) as n, min(chunk_index) = 0 and max(chunk_index) = count(*) - 1 and count(distinct chunk_index) = count(*) as contiguous from chunks group by 1",
     "status_overview": "with m as (select count(*) as events, count(distinct user_id) as users, count(*) filter (event_type in ('click', 'view')) as looked, count(*) filter (event_type = 'error') as failed from events) select metric, cast(v as varchar) as value from (unpivot m on columns(*) into name metric value v)",
     "props_profile": "select count(*) as total_records, count(json_extract_string(props, '$.k')) as present_count, count(*) filter (json_extract_string(props, '$.k') is null) as missing_count, count(*) filter (not coalesce(json_valid(props), false)) as unreadable_count, count(*) filter (json_extract_string(props, '$.k') is not null and try_cast(json_extract_string(props, '$.k') as double) is null) as invalid_type_count from events",
-    "questions_by_category": "select category, count(*) as questions, count(*) filter (answerable) as answerable, count(*) between 20 and 60 as in_target from eval_questions where review_status = 'approved' group by 1",
+    "questions_by_category": f"""with t(category, low, high) as (values {', '.join(f"('{k}', {lo}, {hi})" for k, (lo, hi) in TARGETS.items())}),
+      q as (select case when grouping(category) = 1 then 'all' else category end as category, count(*) as questions, count(*) filter (answerable) as answerable from eval_questions where review_status = 'approved' group by rollup (category))
+      select coalesce(q.category, t.category) as category, coalesce(questions, 0) as questions, coalesce(answerable, 0) as answerable, coalesce(coalesce(questions, 0) between low and high, false) as in_target from q full join t on t.category = q.category""",
 }
