@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.functions import metadata, records
-from timbrel.functions.text import instant_micros, millis, strip
+from timbrel.functions.text import millis, strip
 from timbrel.operators import contracts, keyed
 from timbrel.plans import chunked
 from timbrel.plans.textual import KEYWORDS, SCHOOLS, _collapse
