@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from timbrel.llm import codepoints
 from timbrel.llm.leaks import CUE_WORDS_IN, CUES
