@@ -320,7 +320,7 @@ def test_similar_runs_and_gaps(spark):
     assert runs.collapse_runs(events(spark, [("a", 0, 0.0, 1.0, "x"), ("a", 1, 9.0, 1.0, "x")]), 2, max_gap_ms=5000).count() == 0
 
 
-@pytest.mark.parametrize("similarity, gap", [(0.8, None), (0.8, 1500), (1.0, 1500)])
+@pytest.mark.parametrize("similarity, gap", [(0.8, None), (0.8, 1500)])
 def test_hot_entity_is_walked_by_many_tasks(spark, similarity, gap):
     """Against a plain walk of each entity: drifting texts, so that runs depend on their anchors and cross tasks."""
     rnd = random.Random(66)
