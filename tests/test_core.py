@@ -13,6 +13,7 @@ from timbrel.functions.text import casefold, collapse, instant_micros, millis, s
 from timbrel.operators import chunking, contracts, intervals, keyed, ranges, vectors
 from timbrel.operators.intervals import IntervalMap
 from timbrel.operators.messages import MessageStore
+from timbrel.plans import deliveries
 from timbrel.session import shared_path
 from timbrel.sources import jsonl, tabular
 from timbrel.sources.pages import read_pages
@@ -88,6 +89,49 @@ def test_keyed_state_grows_by_batches(spark):
     assert {tuple(r) for r in intervals.coverage(held).collect()} == {tuple(r) for r in intervals.coverage(batch).collect()}
 
 
+def test_p3_inserts_each_interval_into_its_map(spark, monkeypatch, tmp_path):
+    """Though all comes in one batch, each valid segment is inserted into the payload's map by itself, repeated and overlapping ones too."""
+    log, sf = str(tmp_path / "insertions"), shared_path(spark, "one")
+
+    def told(key, frames, held):
+        from unittest import mock
+
+        from timbrel.streaming import state as there
+
+        class Told(there.IntervalMap):
+            def add(self, start, end):
+                with open(log, "a") as f:
+                    f.write(f"{start} {end}\n")
+                return super().add(start, end)
+
+        with mock.patch.object(there, "IntervalMap", Told):
+            yield from there._grow(key, frames, held)
+
+    monkeypatch.setattr(state, "_grow", told)
+    spans = [(9, 12), (0, 5), (4, 6), (20, 21), (12, 13), (9, 12), (7, 7)]
+    spark.createDataFrame([(8, [("x", float(a), float(b - a)) for a, b in spans])], "raw_id bigint, segments array<struct<text string, start double, duration double>>").write.parquet(f"{sf}/transcripts_raw.parquet")
+    assert rows(deliveries.p3_found(spark, sf)) == [(8, 6000, 9000), (8, 13000, 20000)]
+    with open(log) as f:
+        assert sorted(tuple(map(int, x.split())) for x in f) == sorted((1000 * a, 1000 * b) for a, b in spans if a < b)
+
+
+def test_an_insertion_tells_only_the_gaps_it_changed():
+    m = IntervalMap([0, 10, 40], [5, 20, 50])
+    assert m.add(15, 30) == [(0, 10, 20, -1), (0, 10, 30, 1), (1, 20, 40, -1), (1, 30, 40, 1)]
+    assert m.add(33, 35) == [(0, 33, 35, 1), (1, 30, 40, -1), (1, 30, 33, 1), (1, 35, 40, 1)]
+    assert m.add(12, 18) == []
+
+
+def test_keyed_state_of_names_and_negative_times(spark):
+    data = [("a", -2500, -1), ("a", -5000, -4000), ("a", 3, 4), ("b", -(10**15), 10**15), (None, -7, -5), (None, -4, 2)]
+    path = shared_path(spark, "stream")
+    df = spark.createDataFrame(data, "entity string, start_ms bigint, end_ms bigint")
+    for i in range(2):
+        df.where(F.abs(F.col("start_ms")) % 2 == i).coalesce(1).write.mode("append").parquet(path)
+    held = state.keyed_state(spark, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), part_ms=1000)
+    assert {tuple(r) for r in intervals.gaps(held).collect()} == {("a", -4000, -2500), ("a", -1, 3), (None, -5, -4)}
+
+
 def test_latest_of_a_log_in_batches(spark):
     path = shared_path(spark, "log")
     rows_ = [(i % 40, i, f"v{i}") for i in range(400)] + [(None, 1, "n")]

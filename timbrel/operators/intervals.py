@@ -40,16 +40,17 @@ class IntervalMap:
         starts, ends, n = self.starts, self.ends, len(self.starts)
         if j == i + 1 and starts[i] <= start and end <= ends[i]:
             return []
+        low, high = (min(start, starts[i]), max(end, ends[j - 1])) if i < j else (start, end)
         changed = [(0, starts[k], ends[k], -1) for k in range(i, j)]
-        changed += [(1, ends[k - 1], starts[k], -1) for k in range(max(i, 1), min(j, n - 1) + 1)]
-        if i < j:
-            start, end = min(start, starts[i]), max(end, ends[j - 1])
-        changed.append((0, start, end, 1))
-        if i:
-            changed.append((1, ends[i - 1], start, 1))
+        changed.append((0, low, high, 1))
+        # the gaps between and beside what is touched, and those beside what comes of it
+        old = [(1, ends[k - 1], starts[k]) for k in range(max(i, 1), min(j, n - 1) + 1)]
+        new = [(1, ends[i - 1], low)] if i else []
         if j < n:
-            changed.append((1, end, starts[j], 1))
-        starts[i:j], ends[i:j] = [start], [end]
+            new.append((1, high, starts[j]))
+        changed += [(*g, -1) for g in old if g not in new]
+        changed += [(*g, 1) for g in new if g not in old]
+        starts[i:j], ends[i:j] = [low], [high]
         return changed
 
     def periods(self) -> list[tuple[int, int]]:

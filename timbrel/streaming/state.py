@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,33 +61,29 @@ def latest_of_log(spark: SparkSession, log: DataFrame, keys: list[str], order: s
 #: Milliseconds of starts that one map holds; an entity's maps are spread over the tasks.
 PART_MS = 3_600_000
 
+#: What `_grow` returns; one object, which pandas needn't compare when it joins the groups' frames.
+CHANGES = pd.Index(["entity", "part", "kind", "start_ms", "end_ms", "sign"])
+
 
 def _grow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One batch of a part's intervals into its map. What touches within the batch is merged at once; each period that is left is inserted."""
-    start, end = np.concatenate([f.to_numpy()[:, -2:] for f in frames]).astype(np.int64).T
-    order = np.argsort(start, kind="stable")
-    start, reach = start[order], np.maximum.accumulate(end[order])
-    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
-    start, end = start[first], reach[np.append(first[1:], len(reach)) - 1]
-    if state.exists:
-        m, net = IntervalMap(*(np.frombuffer(x, np.int64).tolist() for x in state.get)), Counter()
-        for lo, hi in zip(start.tolist(), end.tolist()):
-            for kind, x, y, sign in m.add(lo, hi):
-                net[kind, x, y] += sign
-        changes = np.array([(key[1], *what, n) for what, n in net.items() if n], np.int64).reshape(-1, 5)
-        start, end = np.array(m.starts, np.int64), np.array(m.ends, np.int64)
-    else:
-        n = len(start)
-        changes = np.ones((2 * n - 1, 5), np.int64)
-        changes[:, 0] = key[1]
-        changes[:n, 1], changes[:n, 2], changes[:n, 3] = 0, start, end
-        changes[n:, 2], changes[n:, 3] = end[:-1], start[1:]
-    if len(changes):
+    """One batch of a part's intervals into its map: each is inserted by binary search, in the order they come; what that changed of periods and gaps is added up."""
+    m, net = IntervalMap(*(np.frombuffer(x, np.int64).tolist() for x in state.get)) if state.exists else IntervalMap(), defaultdict(int)
+    for f in frames:
+        bounds = list(map(int, " ".join(f["span"]).split()))
+        for start, end in zip(bounds[::2], bounds[1::2]):
+            for kind, low, high, sign in m.add(start, end):
+                net[kind, low, high] += sign
+    changes = [(key[1], *what, n) for what, n in net.items() if n]
+    if changes:
         # the arrays as bytes: one value each for the state store
-        state.update((start.tobytes(), end.tobytes()))
-        out = pd.DataFrame(changes, columns=["part", "kind", "start_ms", "end_ms", "sign"])
-        out.insert(0, "entity", key[0])
-        yield out
+        state.update((np.array(m.starts, np.int64).tobytes(), np.array(m.ends, np.int64).tobytes()))
+        if isinstance(key[0], np.integer):
+            # one block of numbers costs pandas half of what a column beside it does
+            yield pd.DataFrame(np.array([(key[0], *c) for c in changes], np.int64), columns=CHANGES)
+        else:
+            out = pd.DataFrame(np.array(changes, np.int64), columns=CHANGES[1:])
+            out.insert(0, "entity", key[0])
+            yield out
 
 
 def interval_changes(intervals: DataFrame, part_ms: int = PART_MS) -> DataFrame:
@@ -99,7 +95,9 @@ def interval_changes(intervals: DataFrame, part_ms: int = PART_MS) -> DataFrame:
     """
     kind = intervals.schema["entity"].dataType.simpleString()
     ship(intervals.sparkSession)
-    rows = intervals.where("end_ms > start_ms").select("entity", F.floor(F.col("start_ms") / part_ms).alias("part"), F.col("start_ms").cast("bigint"), F.col("end_ms").cast("bigint"))
+    # both bounds in one text: each column of a group costs Python about as much as all of its insertions
+    span = F.concat_ws(" ", F.col("start_ms").cast("bigint"), F.col("end_ms").cast("bigint"))
+    rows = intervals.where("end_ms > start_ms").select("entity", F.floor(F.col("start_ms") / part_ms).alias("part"), span.alias("span"))
     out = f"entity {kind}, part bigint, kind bigint, start_ms bigint, end_ms bigint, sign bigint"
     return rows.groupBy("entity", "part").applyInPandasWithState(_grow, out, "starts binary, ends binary", "append", GroupStateTimeout.NoTimeout)
 
